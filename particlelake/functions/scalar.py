@@ -12,9 +12,12 @@ _WHOLE_NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_
 
 
 def finite(col: Column) -> Column:
-    """The double itself, or null when it is NaN or infinite."""
+    """The double itself, or null when it is NaN or infinite.
+
+    Spark orders NaN above infinity, so one comparison covers both.
+    """
     value = col.cast("double")
-    return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
 def non_blank(col: Column) -> Column:
@@ -32,7 +35,7 @@ def to_float(col: Column, mode: str = "strict") -> Column:
     text = col.cast("string")
     if mode == "prefix":
         lead = F.regexp_extract(text, _LEADING_NUMBER, 1)
-        return finite(non_blank(lead).try_cast("double"))
+        return finite(lead.try_cast("double"))
     trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
     if mode == "taxonomy":
         trimmed = F.when(~F.lower(trimmed).isin("true", "false", "pending"), trimmed)

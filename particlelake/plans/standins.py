@@ -30,7 +30,7 @@ def raw_particles(spark: SparkSession, sf_dir: str) -> DataFrame:
         minor.alias("minor_axis_length_px"),
         (1.0 - F.col("l_discount")).alias("solidity"),
         (1.0 - F.col("l_tax") * 5.0).alias("eccentricity"),
-        (F.col("l_extendedprice") / 2000.0).alias("feret_diameter_max_px"),
+        (F.col("l_extendedprice") / 1900.0).alias("feret_diameter_max_px"),
         ((F.col("l_discount") * 10.0 - 0.5) * math.pi).alias("orientation_rad"),
         (F.col("l_discount") * 1000.0 + F.col("l_tax") * 100.0).alias("mean_intensity"),
     )
@@ -45,7 +45,7 @@ raw_particles AS (
          (l_linenumber - 1)::DOUBLE AS minor_axis_length_px,
          1.0::DOUBLE - l_discount AS solidity,
          1.0::DOUBLE - l_tax * 5.0::DOUBLE AS eccentricity,
-         l_extendedprice / 2000.0::DOUBLE AS feret_diameter_max_px,
+         l_extendedprice / 1900.0::DOUBLE AS feret_diameter_max_px,
          (l_discount * 10.0::DOUBLE - 0.5::DOUBLE) * {math.pi!r}::DOUBLE AS orientation_rad,
          l_discount * 1000.0::DOUBLE + l_tax * 100.0::DOUBLE AS mean_intensity
   FROM lineitem)"""
@@ -216,10 +216,10 @@ g AS (
 results AS (
   SELECT c_mktsegment || '__' || method || '__k-' || c_nationkey AS candidate_id,
          c_mktsegment AS feature_space, method,
-         list_filter([n1, n2, n3, n4], x -> x > 0) AS sizes,
-         len(list_filter([n1, n2, n3, n4], x -> x > 0)) AS num_clusters,
+         list_filter([n1, n2, n3, n4], lambda x: x > 0) AS sizes,
+         len(list_filter([n1, n2, n3, n4], lambda x: x > 0)) AS num_clusters,
          n0 / n AS noise_fraction,
-         list_min(list_filter([n1, n2, n3, n4], x -> x > 0)) / n AS smallest_cluster_fraction,
+         list_min(list_filter([n1, n2, n3, n4], lambda x: x > 0)) / n AS smallest_cluster_fraction,
          CASE WHEN n % 7 <> 0 THEN mean_bal / 20000.0::DOUBLE END AS silhouette_score,
          CASE WHEN n % 3 <> 0 THEN max_bal END AS calinski_harabasz_score,
          min_bal / -400.0::DOUBLE AS davies_bouldin_score,
