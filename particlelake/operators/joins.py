@@ -6,11 +6,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from particlelake import fixed_values as fv
 from particlelake.functions import geo, scalar
 from particlelake.operators.order_stats import key_join
-from particlelake.runtime import any_row, has_more_rows_than, one_row, quoted
+from particlelake.runtime import any_row, has_more_rows_than, quoted
 
 # Stations up to this count travel to the tasks as one array.
 STATION_ARRAY_ROWS = 2_000
@@ -60,8 +61,8 @@ def nearest_station(
 ) -> DataFrame:
     """Every sensor with its nearest station; ties go to the first station.
 
-    The search runs once per distinct position. Few stations travel as one array
-    (no shuffle of the sensors). Beyond ``array_rows`` each occupied grid cell
+    Few stations travel as one constant array, so the sensors are not shuffled.
+    Beyond ``array_rows`` the search runs once per distinct position: each occupied grid cell
     keeps the stations that can be nearest to any point in it and positions join
     on the cell; the triangle inequality makes that list complete.
     """
@@ -71,11 +72,15 @@ def nearest_station(
     return _nearest_from_cells(sensors, usable, latitude, longitude, cell_degrees)
 
 
+def _array_literal(rows: DataFrame) -> Column:
+    """A table of checked size as one constant array, usable inside ``transform``."""
+    schema = T.ArrayType(rows.schema)
+    text = rows.agg(F.to_json(F.collect_list(F.struct("*"))).alias("all")).first()["all"]
+    return F.from_json(F.lit(text), schema)
+
+
 def _nearest_from_array(sensors: DataFrame, usable: DataFrame, latitude: str, longitude: str) -> DataFrame:
-    packed = usable.agg(
-        F.sort_array(F.collect_list(F.struct("ord", "lat", "long", *_STATION_FIELDS))).alias("all")
-    )
-    everything = one_row(packed)["all"]
+    everything = _array_literal(usable)
     lat, lon = scalar.finite(quoted(latitude)), scalar.finite(quoted(longitude))
     nearest = F.array_min(
         F.transform(
@@ -114,8 +119,8 @@ def _cell_candidates(cells: DataFrame, usable: DataFrame, degrees: float) -> Dat
         F.min("lat").alias("lat0"), F.max("lat").alias("lat1"), F.min("long").alias("lon0"), F.max("long").alias("lon1"),
         F.first("lat").alias("any_lat"), F.first("long").alias("any_lon"),
     )
-    packed = blocks.agg(F.collect_list(F.struct("*")).alias("all"))
-    block_list = one_row(packed)["all"]
+    # at most (180 / block) x (360 / block) rows, whatever the number of stations
+    block_list = _array_literal(blocks)
     # distance to one real station of each block bounds the nearest from above;
     # distance to the block's centre minus its radius bounds it from below
     measured = F.transform(

@@ -124,8 +124,10 @@ def aggregate_with_percentiles(
             else:
                 parts += _percentile_parts(name, probs)
             outputs += _unpack(name, probs, list(labels))
-        named = [c for c in aggs]
-        grouped = source.groupBy(*key_columns).agg(*parts, *named)
+        # A percentile buffer keeps every distinct value, so partial aggregation
+        # would ship more than the rows themselves: shuffle the rows once instead.
+        placed = source.repartition(*key_columns) if keys and wanted else source
+        grouped = placed.groupBy(*key_columns).agg(*parts, *aggs)
         extra = grouped.columns[len(keys) + len(parts):]
         return grouped.select(*key_columns, *outputs, *[quoted(c) for c in extra])
 
