@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _upper_tail(statistic: float, df: int) -> float:
@@ -29,7 +30,7 @@ def _upper_tail(statistic: float, df: int) -> float:
     return min(1.0, head + total)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _chi2_tail(statistic: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(
         [

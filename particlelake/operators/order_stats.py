@@ -29,19 +29,18 @@ def key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def ranked_value_counts(df: DataFrame, partition: Sequence[str], value: str) -> DataFrame:
-    """One row per (partition, value): ``n``, ``rows_below`` and ``avg_rank``.
+def rank_counts(counts: DataFrame, partition: Sequence[str], value: str, carry: Sequence[str] = ()) -> DataFrame:
+    """Ranks for a table with one row per (partition, value) and its count ``n``.
 
-    No partition ever sits in one task: equal values are counted first, the
-    counts are range partitioned by (partition, value), and only per-range totals
-    are combined.
+    No partition ever sits in one task: the counts are range partitioned by
+    (partition, value) and only per-range totals are combined. ``carry`` columns
+    pass through. Adds ``rows_below`` and ``avg_rank``.
     """
     keys = list(partition)
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     ranged = cut_lineage(
-        counts.repartitionByRange(*[quoted(k) for k in keys], quoted(value)).withColumn(
-            _RANGE, F.spark_partition_id()
-        )
+        counts.select(*[quoted(k) for k in keys], quoted(value), "n", *carry)
+        .repartitionByRange(*[quoted(k) for k in keys], quoted(value))
+        .withColumn(_RANGE, F.spark_partition_id())
     )
     before = Window.partitionBy(*keys).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
     totals = (
@@ -56,11 +55,18 @@ def ranked_value_counts(df: DataFrame, partition: Sequence[str], value: str) ->
         *[quoted(k) for k in keys],
         quoted(value),
         "n",
+        *carry,
         below.alias("rows_below"),
         (below + (F.col("n") + 1) / F.lit(2.0)).alias("avg_rank"),
     )
 
 
+def ranked_value_counts(df: DataFrame, partition: Sequence[str], value: str) -> DataFrame:
+    """One row per (partition, value): ``n``, ``rows_below`` and ``avg_rank``."""
+    counts = df.groupBy(*[quoted(k) for k in partition], quoted(value)).agg(F.count(F.lit(1)).alias("n"))
+    return rank_counts(counts, partition, value)
+
+
 def _percentile_parts(name: str, probs: Sequence[float]) -> list[Column]:
     return [F.percentile(quoted(name), F.array(*[F.lit(float(p)) for p in probs])).alias(f"__q_{name}")]
 

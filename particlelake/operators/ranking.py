@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from particlelake import fixed_values as fv
 from particlelake.functions import scalar
-from particlelake.runtime import one_row, quoted
+from particlelake.runtime import broadcast_if_small, one_row, quoted
 
 
 def first_n(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -76,7 +76,7 @@ def with_centroid_distance(df: DataFrame, features: Sequence[str], label: str =
     members = df.where(quoted(label) != -1)
     centroids = cluster_centroids(members, features, label)
     return (
-        members.join(F.broadcast(centroids), label)
+        members.join(broadcast_if_small(centroids), label)
         .withColumn("distance_to_cluster_centroid", F.sqrt(squared_distance(features)))
         .drop(*[f"__c_{f}" for f in features])
     )
