@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from particlelake import fixed_values as fv
 from particlelake.functions import scalar
 from particlelake.operators.order_stats import aggregate_with_percentiles
-from particlelake.runtime import HOT_GROUP_ROWS, one_row, quoted
+from particlelake.runtime import HOT_GROUP_ROWS, melt, one_row, quoted
 
 
 def accepted_period(start: str | None, end: str | None) -> tuple[str, str] | None:
@@ -228,8 +228,7 @@ def numeric_summary(
 
     A group without any value of a variable keeps a row with count 0 and nulls.
     """
-    numeric = df.select(quoted(group), *[scalar.finite(quoted(c)).alias(c) for c in columns])
-    long = numeric.unpivot([quoted(group)], [quoted(c) for c in columns], "variable", "value").where(
+    long = melt(df, [quoted(group)], {c: scalar.finite(quoted(c)) for c in columns}, "variable", "value").where(
         F.col("value").isNotNull()
     )
     stats = aggregate_with_percentiles(
@@ -256,8 +255,8 @@ def numeric_summary(
 
 def category_texts(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     """Long (variable, category, group) rows without blank categories."""
-    texts = df.select(quoted(group).alias("__group"), *[F.trim(quoted(c).cast("string")).alias(c) for c in columns])
-    long = texts.unpivot(["__group"], [quoted(c) for c in columns], "variable", "category")
+    texts = {c: F.trim(quoted(c).cast("string")) for c in columns}
+    long = melt(df, [quoted(group).alias("__group")], texts, "variable", "category")
     return long.where(scalar.non_blank(F.col("category")).isNotNull() & F.col("__group").isNotNull())
 
 

@@ -13,7 +13,7 @@ from particlelake.functions.tails import chi2_upper_tail
 from particlelake.operators.aggregates import contingency, group_values, numeric_summary
 from particlelake.operators.order_stats import rank_counts
 from particlelake.operators.ranking import benjamini_hochberg
-from particlelake.runtime import HOT_GROUP_ROWS, quoted
+from particlelake.runtime import HOT_GROUP_ROWS, has_more_rows_than, melt, quoted
 
 
 def _band(value: Column, steps: Sequence[tuple[float, str]], last: str, strict: bool) -> Column:
@@ -74,14 +74,17 @@ def detect_context_columns(
     return df.agg(F.array(*aggs).alias("all")).select(F.inline("all")).where("varies").drop("varies")
 
 
-def kruskal_wallis(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
+def kruskal_wallis(
+    df: DataFrame, group: str, columns: Sequence[str], hot_rows: int = HOT_GROUP_ROWS
+) -> DataFrame:
     """H statistic and p-value of every column; null when all values are equal.
 
-    Values are counted per (variable, value, group) before anything is ranked and
-    the ranks come from range-partitioned counts, so no variable sits in one task.
+    Values are counted per (variable, value, group) before anything is ranked; on
+    large tables the ranks come from range-partitioned counts, so no variable sits
+    in one task.
     """
-    numeric = df.select(quoted(group).alias("__g"), *[scalar.finite(quoted(c)).alias(c) for c in columns])
-    long = numeric.unpivot(["__g"], [quoted(c) for c in columns], "variable", "value").where(
+    numbers = {c: scalar.finite(quoted(c)) for c in columns}
+    long = melt(df, [quoted(group).alias("__g")], numbers, "variable", "value").where(
         F.col("value").isNotNull() & F.col("__g").isNotNull()
     )
     counts = long.groupBy("variable", "value", "__g").agg(F.count(F.lit(1)).alias("c"))
@@ -89,7 +92,8 @@ def kruskal_wallis(df: DataFrame, group: str, columns: Sequence[str]) -> DataFra
     by_value = counts.groupBy("variable", "value").agg(
         F.sum("c").alias("n"), F.collect_list(F.struct("__g", "c")).alias("groups")
     )
-    ranked = rank_counts(by_value, ["variable"], "value", carry=["groups"])
+    large = has_more_rows_than(df, hot_rows)
+    ranked = rank_counts(by_value, ["variable"], "value", carry=["groups"], spread=large)
     per_group = (
         ranked.select("variable", "avg_rank", F.inline("groups"))
         .groupBy("variable", "__g")
@@ -122,7 +126,7 @@ def numeric_association(
 ) -> tuple[DataFrame, DataFrame]:
     """(summary per cell, test per variable) with epsilon squared and adjusted p."""
     summary = numeric_summary(df, group, columns, hot_rows)
-    tests = kruskal_wallis(df, group, columns)
+    tests = kruskal_wallis(df, group, columns, hot_rows)
     h, k, n = F.col("kruskal_wallis_statistic"), F.col("group_count"), F.col("n")
     effect = F.when(h.isNotNull() & (n > k), F.greatest(F.lit(0.0), (h - k + 1) / (n - k)))
     names = df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(columns)], "variable string, position int")

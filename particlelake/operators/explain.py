@@ -12,28 +12,20 @@ from particlelake.functions import scalar
 from particlelake.operators.context import kruskal_wallis
 from particlelake.operators.order_stats import aggregate_with_percentiles
 from particlelake.operators.ranking import benjamini_hochberg
-from particlelake.runtime import HOT_GROUP_ROWS, broadcast_if_small, one_row, quoted
+from particlelake.runtime import HOT_GROUP_ROWS, broadcast_if_small, melt, one_row, quoted
 
 
 def _long(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    return df.select(quoted(label).alias("cluster_label"), *[quoted(f).cast("double").alias(f) for f in features]).unpivot(
-        ["cluster_label"], [quoted(f) for f in features], "feature", "value"
-    )
+    numbers = {f: quoted(f).cast("double") for f in features}
+    return melt(df, [quoted(label).alias("cluster_label")], numbers, "feature", "value")
 
 
-def _global_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
+def _global_stats(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """(feature, global_mean, global_std) over all rows, noise included."""
-    wide = df.agg(
-        *[
-            F.struct(
-                F.lit(f).alias("feature"),
-                F.avg(quoted(f)).alias("global_mean"),
-                F.coalesce(F.nullif(F.stddev_pop(quoted(f)), F.lit(0.0)), F.lit(1.0)).alias("global_std"),
-            ).alias(f)
-            for f in features
-        ]
+    return _long(df, features, label).groupBy("feature").agg(
+        F.avg("value").alias("global_mean"),
+        F.coalesce(F.nullif(F.stddev_pop("value"), F.lit(0.0)), F.lit(1.0)).alias("global_std"),
     )
-    return wide.select(F.inline(F.array(*[quoted(f) for f in features])))
 
 
 def cluster_profiles(
@@ -51,7 +43,7 @@ def cluster_profiles(
         hot_rows=hot_rows,
     )
     total = one_row(df.agg(F.count(F.lit(1)).alias("n")))["n"]
-    return stats.join(_global_stats(df, features), "feature").select(
+    return stats.join(_global_stats(df, features, label), "feature").select(
         "cluster_label",
         "count",
         (F.col("count") / total).alias("fraction"),
@@ -80,7 +72,7 @@ def feature_discrimination(
         hot_rows=hot_rows,
     )
     centre = groups.groupBy("feature").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("pooled_mean"))
-    joined = groups.join(centre, "feature").join(_global_stats(df, features), "feature")
+    joined = groups.join(centre, "feature").join(_global_stats(df, features, label), "feature")
     off = F.col("mean") - F.col("pooled_mean")
     shift = F.col("mean") - F.col("global_mean")
     summary = joined.groupBy("feature").agg(
@@ -90,7 +82,7 @@ def feature_discrimination(
         (F.max("median") - F.min("median")).alias("cluster_median_range"),
     )
     eta = F.when(F.col("ss_total") > 0, F.col("ss_between") / F.col("ss_total")).otherwise(0.0)
-    tests = kruskal_wallis(members, label, features).select(
+    tests = kruskal_wallis(members, label, features, hot_rows).select(
         F.col("variable").alias("feature"), "kruskal_wallis_statistic", "kruskal_wallis_p_value"
     )
     result = summary.join(tests, "feature", "left").select(

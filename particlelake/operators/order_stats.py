@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from particlelake.runtime import HOT_GROUP_ROWS, any_row, cut_lineage, has_more_rows_than, quoted
+from particlelake.runtime import HOT_GROUP_ROWS, any_row, cut_lineage, has_more_rows_than, melt, quoted
 
 _RANGE = "__range"
 
@@ -29,14 +29,25 @@ def key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def rank_counts(counts: DataFrame, partition: Sequence[str], value: str, carry: Sequence[str] = ()) -> DataFrame:
+def rank_counts(
+    counts: DataFrame, partition: Sequence[str], value: str, carry: Sequence[str] = (), spread: bool = True
+) -> DataFrame:
     """Ranks for a table with one row per (partition, value) and its count ``n``.
 
-    No partition ever sits in one task: the counts are range partitioned by
-    (partition, value) and only per-range totals are combined. ``carry`` columns
+    With ``spread`` no partition ever sits in one task: the counts are range
+    partitioned by (partition, value) and only per-range totals are combined.
+    Without it (partitions known to be small) one window does. ``carry`` columns
     pass through. Adds ``rows_below`` and ``avg_rank``.
     """
     keys = list(partition)
+    if not spread:
+        whole = Window.partitionBy(*[quoted(k) for k in keys]).orderBy(quoted(value))
+        below = F.coalesce(F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = counts.withColumn("rows_below", below)
+        return placed.select(
+            *[quoted(k) for k in keys], quoted(value), "n", *carry, "rows_below",
+            (F.col("rows_below") + (F.col("n") + 1) / F.lit(2.0)).alias("avg_rank"),
+        )
     ranged = cut_lineage(
         counts.select(*[quoted(k) for k in keys], quoted(value), "n", *carry)
         .repartitionByRange(*[quoted(k) for k in keys], quoted(value))
@@ -61,10 +72,23 @@ def rank_counts(counts: DataFrame, partition: Sequence[str], value: str, carry:
     )
 
 
-def ranked_value_counts(df: DataFrame, partition: Sequence[str], value: str) -> DataFrame:
+def has_hot_group(df: DataFrame, keys: Sequence[str], hot_rows: int) -> bool:
+    """True if some group (or the whole table, without keys) is above the limit.
+
+    A table below the limit has no such group; only larger ones are grouped.
+    """
+    if not keys or not has_more_rows_than(df, hot_rows):
+        return not keys and has_more_rows_than(df, hot_rows)
+    sizes = df.groupBy(*[quoted(k) for k in keys]).agg(F.count(F.lit(1)).alias("__rows"))
+    return any_row(sizes.where(F.col("__rows") > hot_rows))
+
+
+def ranked_value_counts(
+    df: DataFrame, partition: Sequence[str], value: str, hot_rows: int = HOT_GROUP_ROWS
+) -> DataFrame:
     """One row per (partition, value): ``n``, ``rows_below`` and ``avg_rank``."""
     counts = df.groupBy(*[quoted(k) for k in partition], quoted(value)).agg(F.count(F.lit(1)).alias("n"))
-    return rank_counts(counts, partition, value)
+    return rank_counts(counts, partition, value, spread=has_hot_group(df, partition, hot_rows))
 
 
 def _percentile_parts(name: str, probs: Sequence[float]) -> list[Column]:
@@ -80,10 +104,11 @@ def _spread_percentiles(
 ) -> DataFrame:
     """Percentiles of hot groups from ranked value counts; one row per key."""
     names = list(wanted)
-    long = df.unpivot(
-        [quoted(k) for k in keys], [quoted(n).cast("double").alias(n) for n in names], "__name", "__value"
+    long = melt(
+        df, [quoted(k) for k in keys], {n: quoted(n).cast("double") for n in names}, "__name", "__value"
     ).where(F.col("__value").isNotNull())
-    ranked = ranked_value_counts(long, [*keys, "__name"], "__value")
+    counts = long.groupBy(*keys, "__name", "__value").agg(F.count(F.lit(1)).alias("n"))
+    ranked = rank_counts(counts, [*keys, "__name"], "__value", spread=True)
     sizes = long.groupBy(*keys, "__name").agg(F.count(F.lit(1)).alias("group_rows"))
     joined = key_join(ranked, sizes, [*keys, "__name"])
     aggs, finals = [], []
@@ -139,13 +164,11 @@ def aggregate_with_percentiles(
 
     if approx or not wanted:
         return plain(df)
+    if not has_hot_group(df, keys, hot_rows):
+        return plain(df)
+    hot = None
     if keys:
         hot = df.groupBy(*key_columns).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > hot_rows)
-        is_hot = any_row(hot)
-    else:
-        hot, is_hot = None, has_more_rows_than(df, hot_rows)
-    if not is_hot:
-        return plain(df)
 
     spread_source = df if hot is None else key_join(df, hot, keys, "left_semi")
     spread = _spread_percentiles(spread_source, keys, wanted)
@@ -170,8 +193,10 @@ def aggregate_with_percentiles(
     return plain(rest).unionByName(spread)
 
 
-def average_rank(df: DataFrame, value: str, partition: Sequence[str] = (), output: str = "avg_rank") -> DataFrame:
+def average_rank(
+    df: DataFrame, value: str, partition: Sequence[str] = (), output: str = "avg_rank", hot_rows: int = HOT_GROUP_ROWS
+) -> DataFrame:
     """Each row with its rank among equal partition keys; ties share the mean rank."""
-    ranked = ranked_value_counts(df.where(quoted(value).isNotNull()), partition, value)
+    ranked = ranked_value_counts(df.where(quoted(value).isNotNull()), partition, value, hot_rows)
     lookup = ranked.select(*partition, value, F.col("avg_rank").alias(output))
     return key_join(df, lookup, [*partition, value], "left")

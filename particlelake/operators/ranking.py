@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from particlelake import fixed_values as fv
 from particlelake.functions import scalar
-from particlelake.runtime import broadcast_if_small, one_row, quoted
+from particlelake.runtime import broadcast_if_small, melt, one_row, quoted
 
 
 def first_n(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -97,7 +97,7 @@ def borderline(silhouettes: DataFrame, n: int, label: str = "cluster_label", key
 
 def pairwise_differences(profile: DataFrame, features: Sequence[str], n: int, label: str = "cluster_label") -> DataFrame:
     """Largest standardised median gaps for every pair of clusters."""
-    long = profile.unpivot([quoted(label)], [quoted(f) for f in features], "feature", "value")
+    long = melt(profile, [quoted(label)], {f: quoted(f) for f in features}, "feature", "value")
     ordinal = {f: i for i, f in enumerate(features)}
     place = F.create_map(*[F.lit(x) for pair in ordinal.items() for x in pair])
     left = long.select(quoted(label).alias("cluster_a"), "feature", F.col("value").alias("value_a"))
@@ -160,7 +160,7 @@ def benchmark_rankings(results: DataFrame, n: int = 10, key: str = "candidate_id
 
 def top_loadings(loadings: DataFrame, components: Sequence[str], n: int, feature: str = "feature") -> DataFrame:
     """Per component the features with the largest absolute loading."""
-    long = loadings.unpivot([quoted(feature)], [quoted(c) for c in components], "component", "loading")
+    long = melt(loadings, [quoted(feature)], {c: quoted(c) for c in components}, "component", "loading")
     return first_n(long, ["component"], [F.abs("loading").desc(), quoted(feature)], n)
 
 
@@ -178,12 +178,14 @@ def minmax_normalize(
             *[F.min(quoted(c)).alias(f"lo_{c}") for c in columns], *[F.max(quoted(c)).alias(f"hi_{c}") for c in columns]
         )
     )
+    # one subquery column, read field by field, instead of one subquery per field
+    bounded = df.withColumn("__bounds", bounds)
     added = {}
     for c, higher in columns.items():
-        lo, hi = bounds[f"lo_{c}"], bounds[f"hi_{c}"]
+        lo, hi = F.col("__bounds")[f"lo_{c}"], F.col("__bounds")[f"hi_{c}"]
         share = (quoted(c) - lo if higher else hi - quoted(c)) / (hi - lo)
         close = F.abs(hi - lo) <= 1e-9 * F.greatest(F.abs(hi), F.abs(lo))
         value = F.when(close, F.lit(1.0)).otherwise(share)
         value = F.when(quoted(c).isNotNull(), value)
         added[f"{prefix}{c}"] = value if rows is None else F.when(rows, value)
-    return df.withColumns(added)
+    return bounded.withColumns(added).drop("__bounds")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from particlelake import fixed_values as fv
 from particlelake.operators import preprocess, selection, taxonomy
-from particlelake.operators.explain import cluster_profiles  # noqa: F401
 from particlelake.plans import standins as st
 from particlelake.plans.particle_queries import build_image_features
 from particlelake.plans.registry import query, rounded, with_ctes
@@ -108,10 +107,10 @@ def order_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.count(F.lit(1))
     return li.groupBy(F.col("l_orderkey").alias("image_id")).agg(
         (n * 100.0).alias("num_particles"),
-        (F.avg("l_quantity") / 8.0).alias("area_median"),
-        F.when(n > 1, (F.max("l_quantity") - F.min("l_quantity")) / 8.0).alias("area_iqr"),
-        (F.max("l_extendedprice") / 20000.0).alias("feret_p90"),
-        (F.min("l_extendedprice") / 30000.0).alias("feret_iqr"),
+        (F.avg("l_quantity") / 8.11).alias("area_median"),
+        F.when(n > 1, (F.max("l_quantity") - F.min("l_quantity")) / 7.79).alias("area_iqr"),
+        (F.max("l_extendedprice") / 20983.0).alias("feret_p90"),
+        (F.min("l_extendedprice") / 31013.0).alias("feret_iqr"),
         (F.min("l_discount") * 8.0).alias("circularity_median"),
         (F.avg("l_tax") * 10.0 + 1.0).alias("aspect_ratio_median"),
         (F.max("l_tax") * 20.0 + 1.0).alias("aspect_ratio_p90"),
@@ -129,9 +128,9 @@ _VALUES = ", ".join(
     for fi, (f, w) in enumerate(ws.items())
 )
 _STATS = ", ".join(f"('{f}', {m!r}::DOUBLE, {s!r}::DOUBLE)" for f, (m, s) in fv.REFERENCE_STATS.items())
-_PROFILE_SQL = f"""profile AS (SELECT l_orderkey AS image_id, count(*) * 100.0::DOUBLE AS num_particles, avg(l_quantity) / 8.0::DOUBLE AS area_median,
-   CASE WHEN count(*) > 1 THEN (max(l_quantity) - min(l_quantity)) / 8.0::DOUBLE END AS area_iqr, max(l_extendedprice) / 20000.0::DOUBLE AS feret_p90,
-   min(l_extendedprice) / 30000.0::DOUBLE AS feret_iqr, min(l_discount) * 8.0::DOUBLE AS circularity_median, avg(l_tax) * 10.0::DOUBLE + 1 AS aspect_ratio_median,
+_PROFILE_SQL = f"""profile AS (SELECT l_orderkey AS image_id, count(*) * 100.0::DOUBLE AS num_particles, avg(l_quantity) / 8.11::DOUBLE AS area_median,
+   CASE WHEN count(*) > 1 THEN (max(l_quantity) - min(l_quantity)) / 7.79::DOUBLE END AS area_iqr, max(l_extendedprice) / 20983.0::DOUBLE AS feret_p90,
+   min(l_extendedprice) / 31013.0::DOUBLE AS feret_iqr, min(l_discount) * 8.0::DOUBLE AS circularity_median, avg(l_tax) * 10.0::DOUBLE + 1 AS aspect_ratio_median,
    max(l_tax) * 20.0::DOUBLE + 1 AS aspect_ratio_p90, 1 - min(l_tax) AS eccentricity_p90, CASE WHEN count(*) <= 6 THEN count(*) / 2.0::DOUBLE END AS orientation_entropy,
    max(l_discount) AS circular_variance, 1 - avg(l_discount) / 10.0::DOUBLE AS solidity_median, avg(l_quantity) * 7.0::DOUBLE AS mean_intensity_median
    FROM lineitem GROUP BY l_orderkey),
