@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from particlelake.plans import aggregate_queries, analysis_queries, decision_queries, join_queries, particle_queries, record_queries  # noqa: F401
+from particlelake.plans import (  # noqa: F401
+    aggregate_queries,
+    analysis_queries,
+    cluster_queries,
+    decision_queries,
+    join_queries,
+    particle_queries,
+    record_queries,
+)
 from particlelake.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
