@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from particlelake import fixed_values as fv
@@ -45,6 +45,12 @@ def to_float(col: Column, mode: str = "strict") -> Column:
     return finite(plain.try_cast("double"))
 
 
+def number(df: DataFrame, name: str, mode: str = "strict") -> Column:
+    """Finite value of a column: text is parsed, numbers are only checked."""
+    column = F.col(f"`{name}`")
+    return to_float(column, mode) if dict(df.dtypes)[name] == "string" else finite(column)
+
+
 def to_bool(col: Column) -> Column:
     """true/1/yes and false/0/no in any case; anything else is null."""
     text = F.lower(F.trim(col.cast("string")))

@@ -82,36 +82,35 @@ def sensor_period_average(
     return means.withColumns(_period_outputs(F.col("pm10"), F.col("pm25")))
 
 
-def unique_locations(metadata: DataFrame, order: str, latitude: str = "latitude", longitude: str = "longitude") -> DataFrame:
-    """Six-decimal locations with their sensors; the last row's coordinates stay."""
-    lat, lon = scalar.finite(quoted(latitude)), scalar.finite(quoted(longitude))
+def _located(metadata: DataFrame, latitude: str, longitude: str, *extra: Column) -> DataFrame:
+    """Rows with a position and an owner, keyed by the six-decimal location."""
     names = [c for c in ("sensor_id", "image_id") if c in metadata.columns]
     owner = F.coalesce(*[scalar.non_blank(F.trim(quoted(c).cast("string"))) for c in names])
-    usable = metadata.select(
-        lat.alias("latitude"), lon.alias("longitude"), owner.alias("owner"), quoted(order).alias("__order")
-    ).where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col("owner").isNotNull())
-    keyed = usable.withColumn("location_key", F.format_string("%.6f,%.6f", "latitude", "longitude"))
-    sensors = (
-        keyed.select("location_key", "owner").distinct().groupBy("location_key")
-        .agg(F.sort_array(F.collect_list("owner")).alias("sensor_ids"), F.count(F.lit(1)).alias("sensor_count"))
+    placed = metadata.select(
+        scalar.finite(quoted(latitude)).alias("latitude"), scalar.finite(quoted(longitude)).alias("longitude"),
+        owner.alias("sensor_id"), *extra,
+    ).where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col("sensor_id").isNotNull())
+    return placed.withColumn("location_key", F.format_string("%.6f,%.6f", "latitude", "longitude"))
+
+
+def unique_locations(metadata: DataFrame, order: str, latitude: str = "latitude", longitude: str = "longitude") -> DataFrame:
+    """Six-decimal locations with their number of sensors; the last row's coordinates stay.
+
+    The sensors of each location are the pairs of ``location_sensors``: one place
+    may hold most sensors, so they are never gathered into a list.
+    """
+    keyed = _located(metadata, latitude, longitude, quoted(order).alias("__order"))
+    per_sensor = keyed.groupBy("location_key", "sensor_id").agg(
+        F.max(F.struct("__order", "latitude", "longitude")).alias("last")
     )
-    last = keyed.groupBy("location_key").agg(
-        F.max_by(F.struct("latitude", "longitude"), F.col("__order")).alias("p")
-    ).select("location_key", "p.latitude", "p.longitude")
-    return last.join(sensors, "location_key")
+    return per_sensor.groupBy("location_key").agg(
+        F.max("last").alias("last"), F.count(F.lit(1)).alias("sensor_count")
+    ).select("location_key", "last.latitude", "last.longitude", "sensor_count")
 
 
 def location_sensors(metadata: DataFrame, latitude: str = "latitude", longitude: str = "longitude") -> DataFrame:
-    """(location_key, sensor_id) pairs, for joins that need no per-location list."""
-    lat, lon = scalar.finite(quoted(latitude)), scalar.finite(quoted(longitude))
-    names = [c for c in ("sensor_id", "image_id") if c in metadata.columns]
-    owner = F.coalesce(*[scalar.non_blank(F.trim(quoted(c).cast("string"))) for c in names])
-    return (
-        metadata.select(F.format_string("%.6f,%.6f", lat, lon).alias("location_key"), owner.alias("sensor_id"),
-                        lat.alias("latitude"), lon.alias("longitude"))
-        .where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col("sensor_id").isNotNull())
-        .select("location_key", "sensor_id").distinct()
-    )
+    """Distinct (location_key, sensor_id) pairs."""
+    return _located(metadata, latitude, longitude).select("location_key", "sensor_id").distinct()
 
 
 def place_categories(types: Column) -> dict[str, Column]:
@@ -353,7 +352,7 @@ def sensor_profiles(
 
 def column_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, mean, std, values): std 0 reads 1; a column without values is 0, 1."""
-    value = {c: scalar.to_float(quoted(c), "taxonomy") if dict(df.dtypes)[c] == "string" else scalar.finite(quoted(c)) for c in columns}
+    value = {c: scalar.number(df, c, "taxonomy") for c in columns}
     wide = df.agg(
         *[
             F.struct(

@@ -131,7 +131,7 @@ def numeric_association(
     effect = F.when(h.isNotNull() & (n > k), F.greatest(F.lit(0.0), (h - k + 1) / (n - k)))
     names = df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(columns)], "variable string, position int")
     complete = names.join(tests.withColumn("epsilon_squared", effect), "variable", "left")
-    adjusted = benjamini_hochberg(complete, "kruskal_wallis_p_value", "kruskal_wallis_p_value_bh")
+    adjusted = benjamini_hochberg(complete, "kruskal_wallis_p_value", "kruskal_wallis_p_value_bh", large=False)
     return summary, adjusted.orderBy(F.col("epsilon_squared").desc_nulls_last(), "position").select(
         "variable", "kruskal_wallis_statistic", "kruskal_wallis_p_value", "epsilon_squared", "kruskal_wallis_p_value_bh"
     )
@@ -163,7 +163,7 @@ def categorical_association(df: DataFrame, group: str, columns: Sequence[str]) -
         F.when((F.col("total") > 0) & (smaller > 0), F.sqrt(F.col("chi_square_statistic") / F.col("total") / smaller)).alias("cramers_v"),
         "category_count",
     ).withColumn("chi_square_p_value", chi2_upper_tail(F.col("chi_square_statistic"), F.col("degrees_of_freedom")))
-    adjusted = benjamini_hochberg(tests, "chi_square_p_value", "chi_square_p_value_bh")
+    adjusted = benjamini_hochberg(tests, "chi_square_p_value", "chi_square_p_value_bh", large=False)
     return grid, adjusted.orderBy(F.col("cramers_v").desc_nulls_last(), "variable")
 
 

@@ -89,7 +89,7 @@ def feature_discrimination(
         "feature", eta.alias("eta_squared"), "kruskal_wallis_statistic", "kruskal_wallis_p_value",
         "cluster_mean_range", "cluster_median_range",
     )
-    adjusted = benjamini_hochberg(result, "kruskal_wallis_p_value", "kruskal_wallis_p_value_bh")
+    adjusted = benjamini_hochberg(result, "kruskal_wallis_p_value", "kruskal_wallis_p_value_bh", large=False)
     return adjusted.orderBy(
         F.col("eta_squared").desc(), F.coalesce("kruskal_wallis_statistic", F.lit(0.0)).desc(), "feature"
     )

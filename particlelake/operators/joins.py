@@ -14,7 +14,7 @@ from particlelake.operators.order_stats import key_join
 from particlelake.runtime import any_row, has_more_rows_than, quoted
 
 # Stations up to this count travel to the tasks as one array.
-STATION_ARRAY_ROWS = 2_000
+STATION_ARRAY_ROWS = 128
 # Cell size of the candidate grid used beyond that.
 CELL_DEGREES = 0.5
 
@@ -267,11 +267,16 @@ def keep_ids(
     columns: Mapping[str, Sequence[str]] | None = None,
 ) -> dict[str, DataFrame]:
     """Every table restricted to the kept ids, optionally to some of its columns."""
-    ids = kept.select(quoted(key).cast("string").alias("__kept")).distinct()
+    ids = kept.select(quoted(key).alias("__kept"))
     result = {}
     for name, table in tables.items():
-        mine = _owner(table) if name in by_owner else F.trim(quoted(key).cast("string"))
-        filtered = table.join(ids, mine == F.col("__kept"), "left_semi")
+        if name in by_owner:
+            match = _owner(table) == F.col("__kept").cast("string")
+        elif dict(table.dtypes)[key] == "string":
+            match = F.trim(quoted(key)) == F.col("__kept")
+        else:
+            match = quoted(key) == F.col("__kept")
+        filtered = table.join(ids, match, "left_semi")
         if columns and name in columns:
             filtered = filtered.select(*[quoted(c) for c in columns[name] if c in filtered.columns])
         result[name] = filtered

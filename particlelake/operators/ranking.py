@@ -13,7 +13,16 @@ from pyspark.sql import functions as F
 
 from particlelake import fixed_values as fv
 from particlelake.functions import scalar
-from particlelake.runtime import broadcast_if_small, melt, one_row, quoted
+from particlelake.operators.order_stats import key_join, rank_counts
+from particlelake.runtime import (
+    HOT_GROUP_ROWS,
+    broadcast_if_small,
+    cut_lineage,
+    has_more_rows_than,
+    melt,
+    one_row,
+    quoted,
+)
 
 
 def first_n(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -28,8 +37,8 @@ def review_sample(df: DataFrame, per_bucket: int, key: str = "image_id", mode: s
     Each bucket gives its first ``per_bucket`` rows; a row picked by an earlier
     bucket is not replaced. ``mode="all"`` keeps every row with its place.
     """
-    score = F.coalesce(scalar.to_float(quoted("roi_grid_score")), F.lit(0.0))
-    confidence = F.coalesce(scalar.to_float(quoted("roi_grid_confidence")), F.lit(0.0))
+    score = F.coalesce(scalar.number(df, "roi_grid_score"), F.lit(0.0))
+    confidence = F.coalesce(scalar.number(df, "roi_grid_confidence"), F.lit(0.0))
     review = F.coalesce(scalar.to_bool(quoted("roi_grid_needs_review")), F.lit(False))
     base = df.withColumns({"__score": score, "__confidence": confidence, "__review": review})
     if mode == "all":
@@ -114,11 +123,21 @@ def pairwise_differences(profile: DataFrame, features: Sequence[str], n: int, la
     )
 
 
-def benjamini_hochberg(df: DataFrame, p: str, output: str, within: Sequence[str] = ()) -> DataFrame:
+def benjamini_hochberg(
+    df: DataFrame, p: str, output: str, within: Sequence[str] = (), large: bool | None = None
+) -> DataFrame:
     """Adjusted p-values; nulls stay null and are not counted.
 
-    Runs on tables with one row per tested variable.
+    A table with one row per tested column is small and takes one window
+    (``large=False``); otherwise the size is checked and a large table of tests is
+    ranked in ranges, with the running minimum carried from range to range.
     """
+    if large is None:
+        large = has_more_rows_than(df, HOT_GROUP_ROWS)
+    return _adjusted_in_ranges(df, p, output, within) if large else _adjusted_in_window(df, p, output, within)
+
+
+def _adjusted_in_window(df: DataFrame, p: str, output: str, within: Sequence[str]) -> DataFrame:
     groups = [quoted(c) for c in within]
     tested = quoted(p).isNotNull()
     by_rank = Window.partitionBy(*groups, tested).orderBy(quoted(p))
@@ -132,6 +151,33 @@ def benjamini_hochberg(df: DataFrame, p: str, output: str, within: Sequence[str]
     )
 
 
+def _adjusted_in_ranges(df: DataFrame, p: str, output: str, within: Sequence[str]) -> DataFrame:
+    """Equal p-values share the result of their highest rank, so one row per value is enough."""
+    keys = list(within)
+    counts = df.where(quoted(p).isNotNull()).groupBy(*[quoted(k) for k in keys], quoted(p)).agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy(*[quoted(k) for k in keys]).agg(F.sum("n").alias("__tests"))
+    ranked = key_join(rank_counts(counts, keys, p), totals, keys) if keys else rank_counts(counts, keys, p).withColumn(
+        "__tests", one_row(totals)["__tests"]
+    )
+    scaled = F.least(F.lit(1.0), quoted(p) * F.col("__tests") / (F.col("rows_below") + F.col("n")))
+    ranged = cut_lineage(
+        ranked.select(*[quoted(k) for k in keys], quoted(p), scaled.alias("__scaled"))
+        .repartitionByRange(*[quoted(k) for k in keys], quoted(p))
+        .withColumn("__range", F.spark_partition_id())
+    )
+    later = Window.partitionBy(*keys).orderBy("__range").rowsBetween(1, Window.unboundedFollowing)
+    beyond = (
+        ranged.groupBy(*keys, "__range").agg(F.min("__scaled").alias("__least"))
+        .select(*keys, "__range", F.coalesce(F.min("__least").over(later), F.lit(1.0)).alias("__beyond"))
+    )
+    inside = Window.partitionBy(*keys, "__range").orderBy(quoted(p)).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    local = ranged.withColumn("__local", F.min("__scaled").over(inside))
+    adjusted = key_join(local, beyond, [*keys, "__range"]).select(
+        *[quoted(k) for k in keys], quoted(p), F.least("__local", "__beyond").alias(output)
+    )
+    return key_join(df, adjusted, [*keys, p], "left")
+
+
 RANKED_METRICS = {
     "top_by_silhouette": ("silhouette_score", True),
     "top_by_calinski_harabasz": ("calinski_harabasz_score", True),

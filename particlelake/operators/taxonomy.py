@@ -87,8 +87,7 @@ def taxonomy_rank(
     known = fv.REFERENCE_STATS if reference is None else reference
     numeric = [c for c in columns if c in features.columns]
     used = sorted({f for w in weights.values() for f in w if f in numeric})
-    kinds = dict(features.dtypes)
-    parse = lambda c: scalar.to_float(quoted(c), "taxonomy") if kinds[c] == "string" else scalar.finite(quoted(c))
+    parse = lambda c: scalar.number(features, c, "taxonomy")
     count = F.lit(0)
     for c in numeric:
         count = count + F.when(parse(c).isNotNull(), 1).otherwise(0)

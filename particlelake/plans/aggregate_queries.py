@@ -81,14 +81,23 @@ _LOCATED_SQL = """located AS (SELECT c_custkey AS ord, CASE WHEN c_custkey % 9 =
     with_ctes(
         _LOCATED_SQL,
         body="""SELECT printf('%.6f,%.6f', latitude, longitude) AS location_key, round(arg_max(latitude, ord), 9) AS latitude,
-       round(arg_max(longitude, ord), 9) AS longitude, array_to_string(list_sort(list(DISTINCT owner)), '|') AS sensor_ids,
-       count(DISTINCT owner) AS sensor_count
+       round(arg_max(longitude, ord), 9) AS longitude, count(DISTINCT owner) AS sensor_count
 FROM located WHERE latitude IS NOT NULL GROUP BY 1""",
     ),
 )
 def unique_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = agg.unique_locations(_located(spark, sf_dir), "ord")
-    return rounded(out.withColumn("sensor_ids", F.array_join("sensor_ids", "|")), 9)
+    return rounded(agg.unique_locations(_located(spark, sf_dir), "ord"), 9)
+
+
+@query(
+    "location_sensors",
+    with_ctes(
+        _LOCATED_SQL,
+        body="SELECT DISTINCT printf('%.6f,%.6f', latitude, longitude) AS location_key, owner AS sensor_id FROM located WHERE latitude IS NOT NULL",
+    ),
+)
+def location_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agg.location_sensors(_located(spark, sf_dir))
 
 
 # fixed word map that turns part words into place types

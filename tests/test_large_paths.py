@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from particlelake.operators import aggregates, context, joins, order_stats, validity
+from particlelake.operators import aggregates, context, joins, order_stats, ranking, validity
 from particlelake.operators.cluster import density
 from particlelake.operators.particles import particle_summaries
 from particlelake.operators.preprocess import FeaturePreprocessor, spearman_matrix
@@ -55,6 +55,15 @@ def test_ranks_of_hot_groups(lineitem):
     assert _rows(small, *keys) == _rows(large, *keys)
 
 
+@pytest.mark.parametrize("within", [(), ("g",)])
+def test_adjusted_p_values_of_a_large_table(spark, within):
+    p = F.when(F.col("id") % 11 != 0, F.pmod(F.xxhash64("id"), F.lit(700)) / 1000.0)
+    df = spark.range(2_000).select("id", p.alias("p"), (F.col("id") % 3).alias("g"))
+    small = ranking.benjamini_hochberg(df, "p", "q", within, large=False)
+    large = ranking.benjamini_hochberg(df, "p", "q", within, large=True)
+    assert _rows(small, "id") == _rows(large.select(*small.columns), "id")
+
+
 def test_kruskal_and_spearman_on_large_tables(lineitem):
     columns = ["l_quantity", "l_discount"]
     small = context.kruskal_wallis(lineitem, "l_returnflag", columns)
