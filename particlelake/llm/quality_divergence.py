@@ -1,53 +1,93 @@
 """Quality rules: repetition and Jensen-Shannon distance to language references.
 
 Two histograms of a document are compared to its language's reference, which is the
-same histogram over all documents of the language: classes of characters, and its most
-common words against all other words. The distance is the square root of the
-divergence in bits, from 0 to 1. A document too short for a histogram passes it.
+same histogram over all documents of the language: classes of characters in words, and
+the language's common words against all other words. The distance is the square root
+of the divergence in bits, from 0 to 1. A document too short for a histogram passes it.
+
+Whole texts are read once: counts per document are written to the shared folder,
+references are sums of them, and verdicts need the counts only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from particlelake.llm.common import GAP, WORD, stored, with_results
 
-COMMON_WORDS = 20
-#: Languages with a reference of their own, the largest first; the others, and those
-#: with less than ``MIN_REFERENCE_WORDS`` words, are compared to all documents.
-MAX_LANGUAGES = 256
-MIN_REFERENCE_WORDS = 5_000
-#: Character classes by pattern; what is in none of them is the last class.
-CLASSES = ("[A-Z]", "[a-z]", "[0-9]", "[\\x20\\x09-\\x0D]", "[#*$%&|<>]", "[.,;:!?'\"()\\-]")
+#: Frequent function words by language.
+COMMON_WORDS = {
+    "de": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch es an er so".split(),
+    "en": "the of and to in a is that it for on was be with as by this are at from or an have not".split(),
+    "es": "de la que el en y a los se del las un por con no una su para es al lo como o pero".split(),
+    "fr": "de la le et les des en un du une que est pour qui dans a par sur au pas ne se plus ce".split(),
+}
+OTHER = "*"
+#: Character classes that are counted; letters beyond them are what is left of the words.
+COUNTED_CLASSES = ("[A-Z]", "[0-9]", "[.,;:!?'\"()\\-]")
 SYMBOLS = "[#*$%&|<>]"
 REPEAT = 8
-MIN_CHARS, MAX_CHAR_DISTANCE = 100, 0.30
-MIN_WORDS, MAX_WORD_DISTANCE = 100, 0.60
+#: A reference from fewer words is none.
+MIN_REFERENCE_WORDS = 5_000
+MIN_CHARS, MAX_CHAR_DISTANCE = 200, 0.33
+MIN_WORDS, MAX_WORD_DISTANCE = 50, 0.42
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, GAP), "")
 
 
-def class_counts(text: Column) -> Column:
-    """Characters of each class, and of none, as an array of longs."""
-    counts = [F.length(F.regexp_replace(text, "[^" + c[1:-1] + "]+", "")).cast("long") for c in CLASSES]
-    return F.array(*counts, F.length(text).cast("long") - sum(counts[1:], counts[0]))
+def language_key(lang: Column) -> Column:
+    """The language a document is compared to: its own if it has a word list."""
+    short = F.substring_index(F.lower(lang.cast("string")), "-", 1)
+    return F.when(short.isin(list(COMMON_WORDS)), short).otherwise(OTHER)
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def common_words(key: Column) -> Column:
+    """The word list of a language; all lists together for the others."""
+    lists = F.array(*[F.lit(w) for w in dict.fromkeys(w for ws in COMMON_WORDS.values() for w in ws)])
+    for name, words in COMMON_WORDS.items():
+        lists = F.when(key == name, F.array(*[F.lit(w) for w in words])).otherwise(lists)
+    return lists
+
+
+def class_counts(text: Column, word_chars: Column, symbols: Column) -> Column:
+    """Capitals, digits, punctuation, symbols, bytes beyond ASCII and small letters, in words."""
+    counted = [F.regexp_count(text, F.lit(c)).cast("long") for c in COUNTED_CLASSES]
+    beyond = (F.octet_length(text) - F.length(text)).cast("long")
+    return let(
+        F.array(*counted, symbols, beyond),
+        lambda c: F.concat(c, F.array(F.greatest(word_chars - F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long")))),
+    )
+
+
+def window_hashes(words: Column) -> Column:
+    """A 64-bit hash of every window of eight words: of pairs, of pairs of them, and again."""
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    for step in (1, 2, 4):
+        hashed = _paired(hashed, step)
+    return F.slice(hashed, 1, F.size(words) - (REPEAT - 1))
+
+
+def _paired(hashes: Column, step: int) -> Column:
+    return let(hashes, lambda h: F.zip_with(h, F.slice(h, step + 1, 1 << 30), lambda a, b: F.xxhash64(a, b)))
 
 
 def repeated_words(words: Column) -> Column:
-    """Words covered by ``REPEAT``-word windows that are found twice or more; windows by 64-bit hash."""
-    count = F.size(words) - (REPEAT - 1)
-    windows = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(words, i, REPEAT)))
+    """Words covered by eight-word windows that are found twice or more; windows by 64-bit hash."""
+    none = F.lit(0).cast("long")
 
-    def covered(ws: Column) -> Column:
-        placed = F.array_sort(F.transform(ws, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    def covered(windows: Column) -> Column:
+        placed = F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
 
         def repeats(s: Column) -> Column:
             like = lambda x, k: F.coalesce(F.get(s, k)["w"] == x["w"], F.lit(False))
@@ -56,12 +96,12 @@ def repeated_words(words: Column) -> Column:
 
         def union(p: Column) -> Column:
             steps = F.transform(p, lambda x, k: F.least(F.coalesce(F.get(p, k + 1) - x, F.lit(REPEAT)), F.lit(REPEAT)))
-            return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
+            return F.aggregate(steps, none, lambda a, x: a + x)
 
         return let(let(placed, repeats), union)
 
-    counted = let(windows, lambda ws: F.when(F.size(F.array_distinct(ws)) < F.size(ws), covered(ws)).otherwise(F.lit(0).cast("long")))
-    return F.when(count > 1, counted).otherwise(F.lit(0).cast("long"))
+    counted = let(window_hashes(words), lambda ws: F.when(F.size(F.array_distinct(ws)) < F.size(ws), covered(ws)).otherwise(none))
+    return F.when(F.size(words) > REPEAT, counted).otherwise(none)
 
 
 def jensen_shannon(counts: Column, shares: Column) -> Column:
@@ -69,93 +109,92 @@ def jensen_shannon(counts: Column, shares: Column) -> Column:
     total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
 
     def term(a: Column, b: Column) -> Column:
-        middle = (a + b) / 2
-        part = lambda x: F.when(x > 0, x * F.log2(x / middle)).otherwise(0.0)
+        part = lambda x: F.when(x > 0, x * F.log2(2 * x / (a + b))).otherwise(0.0)
         return (part(a) + part(b)) / 2
 
-    divergence = F.aggregate(
-        F.zip_with(counts, shares, lambda c, s: term(c / total, s)), F.lit(0.0), lambda a, x: a + x
-    )
-    return F.when((total > 0) & shares.isNotNull(), F.sqrt(F.greatest(divergence, F.lit(0.0))))
+    def distance(t: Column) -> Column:
+        terms = F.zip_with(counts, shares, lambda c, s: term(c / t, s))
+        divergence = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+        return F.when((t > 0) & shares.isNotNull(), F.sqrt(F.greatest(divergence, F.lit(0.0))))
+
+    return let(total, distance)
+
+
+def document_counts(text: Column, key: Column) -> Column:
+    """Everything that is counted in a text, as one struct that is computed once."""
+
+    def first(words: Column) -> Column:
+        lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+            let(lines, lambda found: (F.size(found) - F.size(F.array_distinct(found))).cast("long")).alias("n_dup_lines"),
+            repeated_words(words).alias("n_repeat_words"),
+            let(common_words(key), lambda c: F.filter(words, lambda w: F.array_contains(c, w))).alias("common"),
+        )
 
+    def second(x: Column) -> Column:
+        of_each = F.transform(common_words(key), lambda r: (F.size(x["common"]) - F.size(F.array_remove(x["common"], r))).cast("long"))
+        histogram = F.concat(of_each, F.array(x["n_words"] - F.size(x["common"])))
+        classes = class_counts(text, x["word_chars"], x["n_symbols"])
+        return F.struct(*[x[n].alias(n) for n in COUNTS], histogram.alias("word_counts"), classes.alias("class_counts"))
 
-def language_references(docs: DataFrame, text: Column, lang: Column) -> DataFrame:
-    """(lang, words, word_shares, class_shares) of the languages and, with null ``lang``, of all documents.
+    return let(let(words_of(text), first), second)
 
-    Counts run over all documents; at most ``MAX_LANGUAGES`` rows and one more.
+
+def language_references(counted: DataFrame) -> DataFrame:
+    """(key, word_shares, class_shares) from the counts of all documents: a row per word list and one more.
+
+    A reference of fewer than ``MIN_REFERENCE_WORDS`` words is null.
     """
-    rows = docs.select(lang.alias("lang"), text.alias("text"))
-    exploded = rows.select("lang", F.explode(words_of(F.col("text"))).alias("word"))
-    counts = stored(exploded.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "lang-words")
-    places = range(len(CLASSES) + 1)
-    of_class = rows.select("lang", class_counts(F.col("text")).alias("counts"))
-    classes = stored(of_class.groupBy("lang").agg(*[F.sum(F.get("counts", F.lit(i))).alias(f"c{i}") for i in places]), "lang-classes")
-    whole = [F.col(f"c{i}") for i in places]
-    class_shares = F.array(*[c / F.nullif(sum(whole[1:], whole[0]), F.lit(0)) for c in whole]).alias("class_shares")
-
-    def listed(top: Column, total: Column) -> list[Column]:
-        shares = F.transform(top, lambda t: t["n"] / total)
-        rest = 1 - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
-        return [F.transform(top, lambda t: t["word"]).alias("words"), F.concat(shares, F.array(rest)).alias("word_shares")]
-
-    sizes = counts.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= MIN_REFERENCE_WORDS)
-    large = sizes.orderBy(F.col("total").desc(), "lang").limit(MAX_LANGUAGES)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
-    first = counts.where("lang is not null").withColumn("place", rank).where(F.col("place") <= COMMON_WORDS)
-    tops = first.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "word", "n"))).alias("top"))
-    own = large.join(tops, "lang").select("lang", *listed(F.col("top"), F.col("total")))
-    own = own.join(classes.select("lang", class_shares), "lang")
-
-    common = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(COMMON_WORDS)
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("place"), "word", "n")))
-    total = counts.agg(F.sum("n").alias("total")).scalar()
-    summed = classes.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in places])
-    pooled = common.agg(ordered.alias("top")).select("top", total.alias("total"), summed.select(class_shares).scalar().alias("class_shares"))
-    pooled = pooled.select(F.lit(None).cast("string").alias("lang"), *listed(F.col("top"), F.col("total")), "class_shares")
-    return stored(own.select(F.col("lang").cast("string"), "words", "word_shares", "class_shares").unionByName(pooled), "references")
-
-
-def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_words: int = 20, max_repeated: float = 0.30) -> DataFrame:
-    """``docs`` with counts, distances and ``kept``; no Python runs and no text is shuffled.
+
+    def summed(name: str) -> DataFrame:
+        sums = counted.select("__key", F.posexplode(f"__counts.{name}").alias("place", "n")).groupBy("__key", "place").agg(F.sum("n").alias("n"))
+        parts = sums.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("parts"), F.sum("n").alias("total"))
+        return parts.select(F.col("__key").alias("key"), "total", F.transform("parts", lambda p: p["n"] / F.nullif("total", F.lit(0))).alias("shares"))
+
+    words, classes = summed("word_counts"), summed("class_counts")
+    enough = F.col("w.total") >= MIN_REFERENCE_WORDS
+    return words.alias("w").join(classes.alias("c"), "key").select(
+        "key", F.when(enough, F.col("w.shares")).alias("word_shares"), F.when(enough, F.col("c.shares")).alias("class_shares")
+    )
+
+
+def quality_verdicts(
+    docs: DataFrame,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    min_words: int = 20,
+    max_repeated: float = 0.30,
+    carry: Sequence[str] | None = None,
+) -> DataFrame:
+    """``docs`` (or its ``carry`` columns) with counts, distances and ``kept``.
 
     Adds ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``
     (longs), ``base_failed``, ``char_distance``, ``word_distance`` (null under the length
     guards) and ``kept``. A document fails the base rules with fewer than ``min_words``
     words or more than ``max_repeated`` of them repeated, and the method's rule if a
-    distance exceeds its limit. Null texts have no words and fail; null or rare languages
-    are compared to all documents; repeated rows get equal results; columns of ``docs``
-    named like a result are replaced; an empty table gives an empty one.
+    distance exceeds its limit. No Python runs and nothing is shuffled but sums. Null
+    texts have no words and fail; languages without a word list, and null ones, share
+    a reference; repeated rows get equal results; columns of ``docs`` named like a result are
+    replaced; an empty table gives an empty one.
     """
-    results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
-    source = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    lang = F.col(f"`{lang_col}`").cast("string")
-    references = language_references(docs, source, lang)
-    known = [row["lang"] for row in references.where("lang is not null").select("lang").collect()]
-    shared = references.select(
-        F.coalesce(F.concat(F.lit("="), "lang"), F.lit("*")).alias("__key"), F.struct("words", "word_shares", "class_shares").alias("__ref")
-    )
-    kept = with_results(docs, results)
-    keyed = kept.withColumn("__key", F.when(lang.isin(known), F.concat(F.lit("="), lang)).otherwise("*"))
-    text = F.col("__text")
-    read = keyed.join(F.broadcast(shared), "__key").withColumn("__text", source)
-    read = read.withColumn("__words", words_of(text)).withColumn("__classes", class_counts(text))
-    words = F.col("__words")
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
-    read = (
-        read.withColumn("n_words", F.size(words).cast("long"))
-        .withColumn("word_chars", F.length(F.array_join(words, "")).cast("long"))
-        .withColumn("n_symbols", F.regexp_count(text, F.lit(SYMBOLS)).cast("long"))
-        .withColumn("n_dup_lines", let(lines, lambda found: (F.size(found) - F.size(F.array_distinct(found))).cast("long")))
-        .withColumn("n_repeat_words", repeated_words(words))
-        .withColumn("__common", F.filter(words, lambda w: F.array_contains(F.col("__ref.words"), w)))
+    results = [*COUNTS, "base_failed", "char_distance", "word_distance", "kept"]
+    kept = with_results(docs, results) if carry is None else docs.select(*[F.col(f"`{c}`") for c in carry])
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    key = language_key(F.col(f"`{lang_col}`"))
+    carried = [F.col(f"`{c}`") for c in kept.columns]
+    counted = stored(docs.select(*carried, key.alias("__key"), document_counts(text, key).alias("__counts")), "counts")
+    references = stored(language_references(counted), "references").select(
+        F.col("key").alias("__key"), F.struct("word_shares", "class_shares").alias("__ref")
     )
-    counted = F.transform(F.col("__ref.words"), lambda r: (F.size("__common") - F.size(F.array_remove(F.col("__common"), r))).cast("long"))
-    histogram = F.concat(counted, F.array(F.size(words).cast("long") - F.size("__common")))
-    share = round(100 * max_repeated)
-    judged = (
-        read.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > share * F.col("n_words")))
-        .withColumn("char_distance", F.when(F.length(text) >= MIN_CHARS, jensen_shannon(F.col("__classes"), F.col("__ref.class_shares"))))
-        .withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS, jensen_shannon(histogram, F.col("__ref.word_shares"))))
+    found, ref = F.col("__counts"), F.col("__ref")
+    chars = F.when(found["word_chars"] >= MIN_CHARS, jensen_shannon(found["class_counts"], ref["class_shares"]))
+    words = F.when(found["n_words"] >= MIN_WORDS, jensen_shannon(found["word_counts"], ref["word_shares"]))
+    failed = (found["n_words"] < min_words) | (100 * found["n_repeat_words"] > round(100 * max_repeated) * found["n_words"])
+    measured = counted.join(F.broadcast(references), "__key", "left").select(
+        *carried, *[found[n].alias(n) for n in COUNTS], failed.alias("base_failed"), chars.alias("char_distance"), words.alias("word_distance")
     )
     far = F.coalesce(F.col("char_distance") > MAX_CHAR_DISTANCE, F.lit(False)) | F.coalesce(F.col("word_distance") > MAX_WORD_DISTANCE, F.lit(False))
-    return judged.withColumn("kept", ~(F.col("base_failed") | far)).select(*[F.col(f"`{c}`") for c in kept.columns], *results)
+    return measured.withColumn("kept", ~(F.col("base_failed") | far))

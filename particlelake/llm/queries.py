@@ -75,7 +75,7 @@ def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_divergence.quality_verdicts(table(spark, sf_dir, "documents"))
+    judged = quality_divergence.quality_verdicts(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
