@@ -2,90 +2,87 @@
 
 from __future__ import annotations
 
-import numpy as np
+import string
+import struct
+
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
-#: Words a worker remembers; beyond that it starts over, so its memory is bounded.
-CACHE_WORDS = 400_000
-WORDS_AT_ONCE = 2000
-#: Words that may stand between others; the first that is a single token is used.
-SEPARATORS = ("zimbabwe", "qatar", "the")
+#: Words of a generation. A worker remembers two generations: words that come again move
+#: to the new one, and the rest is forgotten with the old one, so memory is bounded.
+CACHE_WORDS = 300_000
+MARKS = string.punctuation.encode()
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
-class WordEncoder:
+def as_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class WordEncoder(dict):
     """Encodes texts with a tokenizer that drops white space and never joins words over it.
 
-    Such a tokenizer gives a text the ids of its words one after the other, so
-    words are looked up and only unknown ones are encoded. Ids are little-endian
+    Such a tokenizer gives a text the ids of its words one after the other, so the
+    encoder is a dictionary from words to ids that fills itself. Ids are little-endian
     unsigned 32-bit integers in ``bytes``.
+
+    A word of Latin-1 letters, with or without ASCII punctuation behind it, is encoded
+    as the vocabulary's model sees it: its lower-case letters by the model alone, and the
+    punctuation as a word of its own. Every other word takes the whole tokenizer.
     """
 
     def __init__(self, path: str):
+        super().__init__()
+        self.before: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        for word in SEPARATORS:
-            ids = self._ids(word)
-            if len(ids) == 1:
-                self.separator, self.separator_id = f" {word} ", ids[0]
-                break
-        else:
-            raise ValueError("no separator is a single token of this vocabulary")
-        if self._ids("a b\nc") != self._ids("a") + self._ids("b") + self._ids("c"):
-            raise ValueError("this tokenizer keeps white space")
-        self.marks = {mark: self._bytes(self._ids(mark.decode())) for mark in (b".", b",")}
-
-    def _ids(self, text: str) -> list[int]:
+        self.model = self.tokenizer.model
+        byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        latin = [chr(c) for c in range(256) if chr(c).isalpha()]
+        self.as_bytes = {ord(c): byte_level.pre_tokenize_str(c)[0][0] for c in latin}
+        samples = ["a b\nc", "Straße ÉTÉ", "words!", "Más..."]
+        split = ["a", "b", "c", "straße", "été", "words", "!", "más", "..."]
+        if [i for s in samples for i in self._whole(s)] != [i for s in split for i in self._whole(s)]:
+            raise ValueError("this tokenizer keeps white space, case, or letters and marks together")
+        if any(self._letters(s) != self._whole(s) for s in ("straße", "été", "words", "zzqxj")):
+            raise ValueError("this tokenizer's model does not see words byte by byte")
+
+    def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    @staticmethod
-    def _bytes(ids) -> bytes:
-        return np.asarray(ids, dtype="<u4").tobytes()
-
-    def _encode_words(self, words: list[bytes]) -> None:
-        """Encodes words joined by a separator; its ids tell the words apart again.
-
-        The separators alone give one such id each, so if there are no more of
-        them, every one is a separator; else the words go one by one.
-        """
-        for start in range(0, len(words), WORDS_AT_ONCE):
-            part = words[start: start + WORDS_AT_ONCE]
-            ids = np.array(self._ids(self.separator.join(w.decode("utf-8") for w in part)), dtype="<u4")
-            cuts = np.flatnonzero(ids == self.separator_id)
-            if len(cuts) == len(part) - 1:
-                begins = [0, *(cuts + 1).tolist()]
-                ends = [*cuts.tolist(), len(ids)]
-                raw = ids.tobytes()
-                self.known.update((w, raw[4 * b: 4 * e]) for w, b, e in zip(part, begins, ends))
-            else:
-                self.known.update((w, self._bytes(self._ids(w.decode("utf-8")))) for w in part)
-
-    def _learn(self, words: set[bytes]) -> None:
-        """ASCII words are looked up in lower case and without a closing mark first."""
-        known, derived, plain = self.known, [], set()
-        for word in words:
-            core, mark = (word[:-1], word[-1:]) if word[-1:] in self.marks else (word, b"")
-            if core.isalpha() and (mark or not core.islower()):
-                core = core.lower()
-                derived.append((word, core, mark))
-                if core not in known:
-                    plain.add(core)
-            else:
-                plain.add(word)
-        self._encode_words(sorted(plain))
-        for word, core, mark in derived:
-            known[word] = known[core] + self.marks.get(mark, b"")
+    def _letters(self, lower: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(lower.translate(self.as_bytes))]
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self._encode(word)
+        self[word] = ids
+        return ids
+
+    def _encode(self, word: bytes) -> bytes:
+        core = word.rstrip(MARKS)
+        if core.isalpha():
+            lower = core.lower()
+            text = None
+        else:
+            text = core.decode("utf-8")
+            if not text.isalpha() or max(text) > "\xff":
+                return as_ids(self._whole(word.decode("utf-8")))
+            text = text.lower()
+            lower = text.encode("utf-8")
+        if len(core) < len(word):
+            return self[lower] + self[word[len(core):]]
+        if lower != word:
+            return self[lower]
+        return as_ids(self._letters(text or lower.decode()))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text; memory grows with the texts of one call."""
-        split = [t.split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        known = self.known
-        self._learn({w for words in split for w in words if w not in known})
-        find = known.__getitem__
-        return [b"".join(map(find, words)) for words in split]
+        if len(self) > CACHE_WORDS:
+            self.before = dict(self)
+            self.clear()
+        return [b"".join(map(self.__getitem__, text.split())) for text in texts]
 
 
 def word_encoder(path: str) -> WordEncoder:

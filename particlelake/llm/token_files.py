@@ -215,7 +215,7 @@ def token_documents(manifest: DataFrame) -> DataFrame:
                     if rows:
                         yield _rows(rows)
 
-    return files.repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return files.repartition(max(1, manifest.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
