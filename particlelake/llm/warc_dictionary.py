@@ -227,7 +227,7 @@ def archived_records(manifest: DataFrame, with_payload: bool = True) -> DataFram
                     if rows:
                         yield batch(rows)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, ", ".join(f"{n} {k}" for n, k, _ in shape))
+    return manifest.select("path").repartition(max(1, manifest.count())).mapInArrow(run, ", ".join(f"{n} {k}" for n, k, _ in shape))
 
 
 def warc_round_trip(pages: DataFrame, with_payload: bool = True, **options) -> DataFrame:
