@@ -84,6 +84,24 @@ TEMPORAL_FEATURES = (
     "season_summer",
     "season_autumn",
 )
+ENRICHED_DEFAULT_FEATURES = (
+    DEFAULT_FEATURES
+    + (
+        "roi_s_mean",
+        "roi_s_std",
+        "roi_v_mean",
+        "roi_v_std",
+        "roi_lab_l_mean",
+        "roi_lab_l_std",
+        "roi_lab_b_mean",
+        "roi_lab_b_std",
+        "colorfulness",
+        "particle_mask_mean_rgb_contrast",
+        "particle_mask_mean_v_contrast",
+    )
+    + PLACE_NUMERIC_FEATURES
+    + TEMPORAL_FEATURES
+)
 ENRICHED_FEATURES = EXTENDED_FEATURES + COLOR_FEATURES + PLACE_NUMERIC_FEATURES + TEMPORAL_FEATURES
 
 LOG_PREFIXES = ("num_particles", "particle_density", "area_", "feret_", "equivalent_diameter_")

@@ -361,6 +361,15 @@ def merge_collections(tables: Sequence[DataFrame], key: str = "id", prefer: str
     )
 
 
+def _unique(updates: DataFrame, key: str) -> DataFrame:
+    """One row per key; a second one fails the job, since no order chooses between them."""
+    others = [c for c in updates.columns if c != key]
+    once = updates.groupBy(quoted(key)).agg(F.count(F.lit(1)).alias("__n"), *[F.first(quoted(c)).alias(c) for c in others])
+    told = F.raise_error(F.concat(F.lit(f"more than one update without an order for {key} "), quoted(key).cast("string")))
+    counted = F.when(F.col("__n") > 1, told).otherwise(F.lit(True))
+    return once.where(counted.cast("boolean")).select(quoted(key), *[quoted(c) for c in others])
+
+
 def upsert(
     target: DataFrame,
     updates: DataFrame,
@@ -374,14 +383,15 @@ def upsert(
 
     ``resets`` are constant columns also set by every update. With
     ``insert=False`` unknown keys are ignored. Per key the update with the
-    greatest ``order`` wins, also when its value is null.
+    greatest ``order`` wins, also when its value is null. Without ``order`` a key
+    that is updated twice is an error, raised when the result is computed.
     """
     resets = dict(resets or {})
     changed = [*set_columns, *resets]
     chosen = updates.select(
         quoted(key), *[quoted(c) for c in set_columns], *([quoted(order).alias("__order")] if order else [])
     )
-    chosen = last_per_key(chosen, key, F.col("__order")).drop("__order") if order else chosen.dropDuplicates([key])
+    chosen = last_per_key(chosen, key, F.col("__order")).drop("__order") if order else _unique(chosen, key)
     incoming = chosen.select(
         quoted(key).alias("__key"),
         *[quoted(c).alias(f"__new_{c}") for c in set_columns],

@@ -2,35 +2,33 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from particlelake.functions import scalar
 from particlelake.operators.order_stats import aggregate_with_percentiles
+from particlelake.operators.records import with_row_position
 from particlelake.runtime import broadcast_if_small, quoted
 
 FOLDS = 5
-FOLD_SLICE_ROWS = 1_000_000
+#: The deepest trees that Spark grows.
+MAX_DEPTH = 30
 
 
 def with_folds(df: DataFrame, label: str, key: str, seed: int, folds: int = FOLDS) -> DataFrame:
-    """Stratified folds: rows of a class are dealt out in hash order.
+    """Stratified folds: rows are dealt out in the order of class and hashed key.
 
-    A large class is dealt out in several slices, so it never sorts in one task;
-    slices start at different folds and stay balanced.
+    Rows of a class follow one another, so each class is spread evenly. Positions
+    come from ranges, whatever the size of a class.
     """
-    slices = max(1, math.ceil(df.count() / FOLD_SLICE_ROWS))
-    mixed = F.xxhash64(quoted(key), F.lit(seed))
-    sliced = df.withColumns({"__h": mixed, "__slice": F.pmod(F.xxhash64(quoted(key)), F.lit(slices))})
-    order = Window.partitionBy(quoted(label), "__slice").orderBy("__h", quoted(key))
-    fold = F.pmod(F.row_number().over(order) + F.col("__slice"), F.lit(folds))
-    return sliced.withColumn("fold", fold).drop("__h", "__slice")
+    mixed = df.withColumn("__h", F.xxhash64(quoted(key), F.lit(seed)))
+    placed = with_row_position(mixed, [label, "__h", key], "__position")
+    return placed.withColumn("fold", F.pmod(F.col("__position"), F.lit(folds)).cast("int")).drop("__h", "__position")
 
 
 def with_balanced_weights(df: DataFrame, label: str) -> DataFrame:
@@ -47,8 +45,10 @@ def balanced_accuracy(predicted: DataFrame, label: str = "label") -> float:
     return recalls.agg(F.avg("recall")).first()[0]
 
 
-def _forest(trees: int, seed: int) -> RandomForestClassifier:
-    return RandomForestClassifier(numTrees=trees, seed=seed, weightCol="weight", maxDepth=10, featureSubsetStrategy="sqrt")
+def _forest(trees: int, seed: int, max_depth: int) -> RandomForestClassifier:
+    return RandomForestClassifier(
+        numTrees=trees, seed=seed, weightCol="weight", maxDepth=max_depth, featureSubsetStrategy="sqrt"
+    )
 
 
 def _logistic(total_weight: float, max_iter: int) -> LogisticRegression:
@@ -58,7 +58,8 @@ def _logistic(total_weight: float, max_iter: int) -> LogisticRegression:
 
 
 def _evaluate(
-    forest_rows: DataFrame, logistic_rows: DataFrame, names: Sequence[str], trees: int, seed: int, max_iter: int
+    forest_rows: DataFrame, logistic_rows: DataFrame, names: Sequence[str], trees: int, seed: int, max_iter: int,
+    max_depth: int,
 ) -> tuple[DataFrame, dict]:
     """Cross-validated accuracy of both models and their feature influence."""
     spark = forest_rows.sparkSession
@@ -66,12 +67,12 @@ def _evaluate(
     rows = forest_rows.count()
     for fold in range(FOLDS):
         for name, data, model in (
-            ("random_forest", forest_rows, _forest(trees, seed)),
+            ("random_forest", forest_rows, _forest(trees, seed, max_depth)),
             ("logistic", logistic_rows, _logistic(rows * (FOLDS - 1) / FOLDS, max_iter)),
         ):
             train = with_balanced_weights(data.where(F.col("fold") != fold).drop("weight"), "label")
             scores[name].append(balanced_accuracy(model.fit(train).transform(data.where(F.col("fold") == fold))))
-    forest = _forest(trees, seed).fit(forest_rows)
+    forest = _forest(trees, seed, max_depth).fit(forest_rows)
     logistic = _logistic(rows, max_iter).fit(logistic_rows)
     influence = np.abs(logistic.coefficientMatrix.toArray()).mean(axis=0)
     importance = forest.featureImportances.toArray()
@@ -103,6 +104,7 @@ def surrogate_models(
     seed: int = 7,
     trees: int = 400,
     max_iter: int = 3000,
+    max_depth: int = MAX_DEPTH,
 ) -> tuple[DataFrame | None, dict]:
     """Random forest and logistic regression on non-noise rows."""
     rows = _labelled(df.where(quoted(label) != -1), label)
@@ -111,7 +113,7 @@ def surrogate_models(
     vector = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
     ready = with_balanced_weights(with_folds(vector.select(key, "label", "features"), "label", key, seed), "label").persist()
     try:
-        return _evaluate(ready, ready, features, trees, seed, max_iter)
+        return _evaluate(ready, ready, features, trees, seed, max_iter, max_depth)
     finally:
         ready.unpersist()
 
@@ -126,6 +128,7 @@ def context_models(
     trees: int = 400,
     max_iter: int = 5000,
     exclude_noise: bool = False,
+    max_depth: int = MAX_DEPTH,
 ) -> tuple[DataFrame | None, dict]:
     """Predict clusters from context: medians and ``missing`` fill the gaps."""
     if not numeric and not categorical:
@@ -156,6 +159,6 @@ def context_models(
             StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(ready).transform(ready)
             .drop("features").withColumnRenamed("scaled", "features")
         )
-        return _evaluate(ready, scaled, names, trees, seed, max_iter)
+        return _evaluate(ready, scaled, names, trees, seed, max_iter, max_depth)
     finally:
         ready.unpersist()

@@ -19,7 +19,7 @@ from particlelake.plans.registry import query, rounded
 from particlelake.runtime import checkpoint_root
 from particlelake.streaming import ingest
 
-FEATURES = st.feature_names(8)
+FEATURES = st.feature_names()
 
 
 def _space(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,32 +55,40 @@ def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ward")
 def ward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partition.ward(4, micro=200)(_space(spark, sf_dir), FEATURES, 7)[0]
+    """Exact merges of all rows of a table within the exact limit."""
+    return partition.ward(4, "exact")(_space(spark, sf_dir), FEATURES, 7)[0]
+
+
+@query("ward_micro")
+def ward_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partition.ward(4, "micro")(_space(spark, sf_dir), FEATURES, 7)[0]
 
 
 @query("gmm_full")
 def gmm_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.gmm(3, "full", n_init=2)(_space(spark, sf_dir), FEATURES, 7)[0]
+    """Full covariances of the first dimensions; Spark's mixture underflows on all 64."""
+    few = FEATURES[:8]
+    return mixture.gmm(3, "full")(_space(spark, sf_dir).select("image_id", *few), few, 7)[0]
 
 
 @query("gmm_diag")
 def gmm_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.gmm(3, "diag", n_init=2)(_space(spark, sf_dir), FEATURES, 7)[0]
+    return mixture.gmm(3, "diag")(_space(spark, sf_dir), FEATURES, 7)[0]
 
 
 @query("fuzzy_cmeans")
 def fuzzy_cmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partition.fuzzy_cmeans(3, max_iter=15)(_space(spark, sf_dir), FEATURES, 7)[0]
+    return partition.fuzzy_cmeans(3)(_space(spark, sf_dir), FEATURES, 7)[0]
 
 
 @query("density_clusters")
 def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return density.density_clusters(min_samples=10)(_space(spark, sf_dir), FEATURES, 7)[0]
+    return density.density_clusters()(_space(spark, sf_dir), FEATURES, 7)[0]
 
 
 @query(
     "core_distances",
-    """WITH p AS (SELECT vec_id, list_transform(embedding[1:8], lambda v: v::DOUBLE) AS e FROM embeddings),
+    """WITH p AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings),
 d AS (SELECT a.vec_id, list_distance(a.e, b.e) AS d FROM p a JOIN p b ON a.vec_id <> b.vec_id)
 SELECT vec_id AS id, round(d, 6) AS core FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d) = 10""",
 )
@@ -106,9 +114,9 @@ def bootstrap_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("benchmark_candidates")
 def benchmark_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     spaces = {"selected_features": _space(spark, sf_dir)}
-    options = {"kmeans": {"n_init": 1}, "ward": {"micro": 100}}
+    options = {"kmeans": {"n_init": 1}, "ward": {"method": "exact"}}
     grid = stability.candidate_grid(spaces, ("kmeans", "ward"), (2, 3), options)
-    return stability.benchmark(spaces, grid, repeats=2, bootstraps=1)[0]
+    return stability.benchmark(spaces, grid, repeats=2, bootstraps=1, silhouette_mode="exact")[0]
 
 
 @query(
@@ -134,10 +142,16 @@ def kmeans_against_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(score,)], "adjusted_rand_index double")
 
 
+def _with_accuracies(table: DataFrame, summary: dict) -> DataFrame:
+    """Influence of every feature beside the cross-validated accuracies of both models."""
+    numbers = {name: F.round(F.lit(value), 6) for name, value in summary.items() if isinstance(value, float)}
+    return table.withColumns(numbers)
+
+
 @query("surrogate_models")
 def surrogate_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = st.labelled_space(spark, sf_dir).select("image_id", "cluster_label", *FEATURES)
-    return models.surrogate_models(space, FEATURES, trees=20, max_iter=50)[0]
+    return _with_accuracies(*models.surrogate_models(space, FEATURES, trees=20, max_iter=50))
 
 
 @query("context_models")
@@ -145,7 +159,9 @@ def context_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = image_context(spark, sf_dir).withColumn("cluster_label", (F.col("official_pm25") / 14).cast("int"))
     month = F.substring("capture_datetime", 6, 2)
     rows = rows.withColumn("capture_season", F.when(F.col("record_pm10").isNotNull(), month))
-    return models.context_models(rows, ["record_pm10", "record_pm25", "official_pm10"], ["capture_season"], trees=10, max_iter=30)[0]
+    return _with_accuracies(
+        *models.context_models(rows, ["record_pm10", "record_pm25", "official_pm10"], ["capture_season"], trees=10, max_iter=30)
+    )
 
 
 # --- streams --------------------------------------------------------------------

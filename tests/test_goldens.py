@@ -202,6 +202,19 @@ def test_pruning_and_balance_rules():
     assert removed == {"area_mean": "area_median", "area_p75": "family_balance_rule", "area_p25": "family_balance_rule"}
 
 
+def test_enriched_columns_keep_the_order_of_their_list():
+    from particlelake import fixed_values as fv
+
+    lists = {"default": fv.ENRICHED_DEFAULT_FEATURES, "extended": fv.ENRICHED_FEATURES}
+    rho = {("roi_v_mean", "roi_lab_l_mean"): 0.97}
+    kept, removed = preprocess.prune_correlated(["roi_lab_l_mean", "roi_v_mean"], rho, **lists)
+    assert kept == ["roi_v_mean"] and removed == {"roi_lab_l_mean": "roi_v_mean"}
+    assert preprocess.by_priority(["zzz", "total", "area_p25", "num_particles", "aaa"], **lists) == [
+        "num_particles", "total", "area_p25", "aaa", "zzz"
+    ]
+    assert len(fv.ENRICHED_DEFAULT_FEATURES) == 57 and set(fv.ENRICHED_DEFAULT_FEATURES) <= set(fv.ENRICHED_FEATURES)
+
+
 def test_granularity(spark):
     df = spark.createDataFrame([(2,), (3,), (6,), (8,), (20,), (None,)], "k int")
     found = [r[0] for r in df.select(selection.granularity_score(F.col("k"))).collect()]

@@ -11,6 +11,7 @@ from particlelake.operators.particles import particle_summaries
 from particlelake.operators.preprocess import FeaturePreprocessor, spearman_matrix
 from particlelake.operators.records import exact_sample, slice_rows
 from particlelake.plans import decision_queries, standins as st
+from particlelake.runtime import cut_lineage
 from tests.conftest import SMALL
 
 
@@ -69,8 +70,9 @@ def test_kruskal_and_spearman_on_large_tables(lineitem):
     small = context.kruskal_wallis(lineitem, "l_returnflag", columns)
     large = context.kruskal_wallis(lineitem, "l_returnflag", columns, hot_rows=1)
     assert _rows(small, "variable") == _rows(large, "variable")
-    small = spearman_matrix(lineitem, columns)
-    assert _rows(small, "feature_a", "feature_b") == _rows(spearman_matrix(lineitem, columns, hot_rows=1), "feature_a", "feature_b")
+    keyed = cut_lineage(lineitem.withColumn("row", F.monotonically_increasing_id()))
+    small = spearman_matrix(keyed, columns, "row")
+    assert _rows(small, "feature_a", "feature_b") == _rows(spearman_matrix(keyed, columns, "row", hot_rows=1), "feature_a", "feature_b")
 
 
 def test_cleaning_on_large_tables(spark):
