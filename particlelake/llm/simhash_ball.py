@@ -11,6 +11,8 @@ so a variant yields a star, never pairs.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -61,24 +63,25 @@ def _single_flips(first: int, last: int) -> Column:
     return F.expr(f"transform(sequence({first}, {last}), i -> shiftleft(1L, i))")
 
 
-def _half_key(fingerprint: Column, side: int) -> Column:
-    """One half of the fingerprint with the side it comes from, as one number."""
-    half = F.shiftrightunsigned(fingerprint, 32) if side else fingerprint.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-    return half.bitwiseOR(F.lit(side << 32).cast("long"))
+def _block_masks() -> list[int]:
+    """Masks of every three of six blocks of bits, as signed numbers."""
+    edges = [round(k * 64 / 6) for k in range(7)]
+    blocks = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edges, edges[1:])]
+    masks = [x | y | z for x, y, z in itertools.combinations(blocks, 3)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
 def _crowded(prints: DataFrame) -> DataFrame:
-    """Fingerprints of which some half lies near another's half.
+    """Fingerprints that agree with another one in three of six blocks of bits.
 
-    Of two fingerprints three bits apart one half differs in at most one bit, so
-    nothing else can have a partner and need not emit its ball.
+    Three differing bits leave three blocks alike, so nothing else can have a partner
+    and need not emit its ball.
     """
-    flips = F.concat(F.array(F.lit(0).cast("long")), _single_flips(0, 31))
-    low, high = _half_key(F.col("fingerprint"), 0), _half_key(F.col("fingerprint"), 1)
-    keys = F.concat(F.transform(flips, lambda f: low.bitwiseXOR(f)), F.transform(flips, lambda f: high.bitwiseXOR(f)))
-    near = prints.select("fingerprint", F.explode(keys).alias("key"))
-    met = near.groupBy("key").agg(F.min("fingerprint").alias("lo"), F.max("fingerprint").alias("hi")).where("lo <> hi")
-    return near.join(met.select("key"), "key", "left_semi").select("fingerprint").distinct()
+    masks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("m")) for i, m in enumerate(_block_masks())])
+    keys = F.transform(masks, lambda m: F.xxhash64(m["i"], F.col("fingerprint").bitwiseAND(m["m"])))
+    blocks = prints.select("fingerprint", F.explode(keys).alias("key"))
+    met = blocks.groupBy("key").agg(F.min("fingerprint").alias("lo"), F.max("fingerprint").alias("hi")).where("lo <> hi")
+    return blocks.join(met.select("key"), "key", "left_semi").select("fingerprint").distinct()
 
 
 def ball_links(prints: DataFrame, radius: int = 3) -> DataFrame:
