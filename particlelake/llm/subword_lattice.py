@@ -1,11 +1,15 @@
 """Marginal likelihood of texts under a unigram model over subword lattices.
 
 The pieces are those of an existing vocabulary. Its scores give the first weights,
-and expectation maximisation over all training words turns them into piece
+and expectation maximisation over all distinct training words turns them into piece
 probabilities. A word is the sum over all its segmentations, by forward recursion in
 log space; a text is its words and one end. Words start with the vocabulary's word
 mark, so pieces never cross them and a word's likelihood does not depend on its
 neighbours: lattices are built once per distinct word and batch.
+
+A training word's lattice has one more arc, the whole word. Absolute discounting
+gives it the word's count less a discount, and the mass taken from all words is what
+the segmentations share, so the arcs of all words together stay a distribution.
 """
 
 from __future__ import annotations
@@ -185,10 +189,16 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit_pieces(counts: DataFrame, docs: int, path: str, rounds: int = 2, smoothing: float = 0.1) -> np.ndarray:
+def discount_of(counts: DataFrame) -> float:
+    """The share of an occurrence that every word gives up: n1 / (n1 + 2 n2) of words found once and twice."""
+    once, twice = counts.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+
+
+def fit_pieces(counts: DataFrame, path: str, rounds: int = 2, smoothing: float = 0.1) -> np.ndarray:
     """Natural log probability of every piece after ``rounds`` of expectation maximisation.
 
-    Every round reads all distinct training words; tasks return sums per piece, so
+    Every distinct word counts once, as segmentations are for words that are rare. Every round reads all distinct training words; tasks return sums per piece, so
     what reaches the driver is bounded by the vocabulary.
     """
     spark = counts.sparkSession
@@ -203,7 +213,7 @@ def fit_pieces(counts: DataFrame, docs: int, path: str, rounds: int = 2, smoothi
             for batch in in_slices(batches, WORDS_AT_ONCE):
                 words = column_values(batch, "word")
                 if words:
-                    total += Lattices(words, own).expected_counts(weights, np.array(column_values(batch, "n"), float))
+                    total += Lattices(words, own).expected_counts(weights, np.ones(len(words)))
             used = np.flatnonzero(total)
             if len(used):
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["piece", "n"])
@@ -211,7 +221,7 @@ def fit_pieces(counts: DataFrame, docs: int, path: str, rounds: int = 2, smoothi
         expected = np.full(len(log_weights), smoothing)
         for row in counts.mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
             expected[row["piece"]] += row["n"]
-        expected[vocab.end] += docs
+        expected[vocab.end] += 1
         log_weights = np.log(expected / expected.sum())
     return log_weights
 
@@ -257,7 +267,13 @@ def lattice_scores(
     words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     tokens, kinds = words + ends, distinct + (1 if ends else 0)
     divisor = tokens + 0.1 * (kinds + 1)
-    log_weights = fit_pieces(counts, ends, vocabulary_path, rounds)
+    discount = discount_of(counts)
+    spread = discount * kinds / tokens if tokens else 1.0
+    log_weights = fit_pieces(counts, vocabulary_path, rounds)
+    vocab = vocabulary(vocabulary_path)
+    starts = np.exp(log_weights[[i for p, i in vocab.lattice.items() if p.startswith(MARK)]]).sum()
+    end_share = float(np.exp(log_weights[vocab.end]) / (starts + np.exp(log_weights[vocab.end])))
+    end_score = math.log10((max(ends - discount, 0) / tokens if tokens else 0) + spread * end_share)
     model = spark.sparkContext.broadcast((log_weights, frequent_words(counts, frequent)))
     end_base = math.log10((ends + 0.1) / divisor)
 
@@ -267,7 +283,6 @@ def lattice_scores(
         often_base = {w: math.log10((c + 0.1) / divisor) for w, c in often.items()}
         likely: dict[bytes, float] = {}
         to_log10 = 1 / math.log(10)
-        end_score = float(weights[vocab.end]) * to_log10
         for batch in in_slices(batches, DOCS_AT_ONCE):
             counted = [Counter(_words(t)) for t in binary_values(batch, "text")]
             if len(likely) > CACHE_WORDS:
@@ -282,7 +297,6 @@ def lattice_scores(
                 sums = [1, 1 if ends else 0, end_base, end_score]
                 for word, n in words_of.items():
                     sums[0] += n
-                    sums[3] += n * likely[word]
                     value = often_base.get(word)
                     if value is None:
                         owner.append(row)
@@ -291,11 +305,12 @@ def lattice_scores(
                         number.append(0)
                         known.append(0)
                         base.append(0.0)
-                        score.append(0.0)
+                        score.append(likely[word])
                         copies.append(0)
                     else:
                         sums[1] += n
                         sums[2] += n * value
+                        sums[3] += n * math.log10((often[word] - discount) / tokens + spread * 10 ** likely[word])
                 owner.append(row)
                 token.append(b"of row %d" % row)
                 times.append(0)
@@ -324,11 +339,14 @@ def lattice_scores(
     joined = parts.join(counts, "word", "left")
     count = F.coalesce("n", F.lit(0))
     rare = F.col("times") * F.log10((count + F.lit(0.1)) / F.lit(divisor))
+    parted = F.lit(math.log10(spread)) + F.col("score")
+    arc = (F.col("n") - F.lit(discount)) / F.lit(max(tokens, 1))
+    whole = F.when(F.col("n").isNull(), parted).otherwise(F.log10(arc + F.pow(F.lit(10.0), parted)))
     summed = joined.groupBy("doc_id", "signature", "held_out").agg(
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(count > 0, F.col("times")).otherwise(0)).alias("n_known"),
         F.sum(F.col("base") + rare).alias("base_score"),
-        F.sum("score").alias("score"),
+        F.sum(F.when(F.col("copies") > 0, F.col("score")).otherwise(F.col("times") * whole)).alias("score"),
         F.sum("copies").alias("copies"),
     )
     once = summed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
