@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from particlelake import fixed_values as fv
 from particlelake.operators.ranking import minmax_normalize
-from particlelake.operators.validity import label_agreement
+from particlelake.operators.validity import agreement_of
 from particlelake.runtime import quoted
 
 
@@ -107,19 +107,16 @@ def select_final(scored: DataFrame, n: int = 10, robustness_only: Sequence[str]
 
 
 def candidate_agreement(
-    assignments: DataFrame, reference: str, others: Sequence[str], key: str = "image_id"
+    selected: DataFrame, assignments: DataFrame, last_place: int = 6, key: str = "image_id"
 ) -> DataFrame:
-    """ARI and NMI of the reference candidate with up to a handful of others."""
-    base = assignments.where(F.col("candidate_id") == reference)
-    parts = [
-        label_agreement(base, assignments.where(F.col("candidate_id") == other), key).select(
-            F.lit(reference).alias("reference_candidate_id"), F.lit(other).alias("comparison_candidate_id"),
-            "overlap_count", "adjusted_rand_index", "normalized_mutual_information",
-        )
-        for other in others
-        if other != reference
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.orderBy(F.col("adjusted_rand_index").desc(), "comparison_candidate_id")
+    """ARI and NMI of the recommended candidate with the shortlist from place 2 to ``last_place``.
+
+    ``selected`` comes from ``select_final``; all pairs are compared in one job.
+    """
+    named = assignments.join(selected.where(F.col("place") <= last_place).select("candidate_id", "place"), "candidate_id")
+    best = named.where("place = 1").select(key, F.col("candidate_id").alias("reference_candidate_id"), F.col("cluster_label").alias("la"))
+    others = named.where("place > 1").select(
+        key, F.col("candidate_id").alias("comparison_candidate_id"), F.col("cluster_label").alias("lb")
+    )
+    ids = ["reference_candidate_id", "comparison_candidate_id"]
+    return agreement_of(best.join(others, key), ids).orderBy(F.col("adjusted_rand_index").desc(), "comparison_candidate_id")

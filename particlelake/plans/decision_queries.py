@@ -315,6 +315,36 @@ def backfill_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("filled", filled)
 
 
+@query(
+    "selection_agreement",
+    _SCORED_SQL + """, short AS (SELECT candidate_id, row_number() OVER (ORDER BY selection_score DESC, coalesce(silhouette_score, -1) DESC, candidate_id) AS place
+  FROM scored WHERE eligible),
+top_six AS (SELECT candidate_id, place, split_part(candidate_id, 'k-', 2)::INT AS n FROM short WHERE place <= 6),
+placed AS (SELECT candidate_id, place, vec_id, (vec_id // (n + 2)) % (2 + n % 4) AS label FROM top_six, embeddings),
+both_labels AS (SELECT a.candidate_id AS reference, b.candidate_id AS other, a.label AS la, b.label AS lb FROM placed a JOIN placed b USING (vec_id) WHERE a.place = 1 AND b.place > 1),
+cells AS (SELECT reference, other, la, lb, count(*)::DOUBLE AS n FROM both_labels GROUP BY ALL),
+ra AS (SELECT other, la, sum(n) AS n FROM cells GROUP BY ALL), rb AS (SELECT other, lb, sum(n) AS n FROM cells GROUP BY ALL),
+totals AS (SELECT reference, other, sum(n) AS t, sum(n * (n - 1) / 2) AS same FROM cells GROUP BY ALL),
+sa AS (SELECT ra.other, sum(n * (n - 1) / 2) AS sa, -sum(n / t * ln(n / t)) AS ha FROM ra JOIN totals t USING (other) GROUP BY ALL),
+sb AS (SELECT rb.other, sum(n * (n - 1) / 2) AS sb, -sum(n / t * ln(n / t)) AS hb FROM rb JOIN totals t USING (other) GROUP BY ALL),
+mi AS (SELECT c.other, sum(c.n / t * ln(c.n * t / (ra.n * rb.n))) AS mi FROM cells c JOIN ra USING (other, la) JOIN rb USING (other, lb) JOIN totals t USING (other) GROUP BY ALL)
+SELECT reference AS reference_candidate_id, other AS comparison_candidate_id, t::BIGINT AS overlap_count,
+  round((same - sa * sb / (t * (t - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (t * (t - 1) / 2)), 6) AS adjusted_rand_index,
+  round(mi / ((ha + hb) / 2), 6) AS normalized_mutual_information
+FROM totals t JOIN sa USING (other) JOIN sb USING (other) JOIN mi USING (other)""",
+)
+def selection_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recommended candidate beside the next five, on labels derived from the image number."""
+    results = st.benchmark_results(spark, sf_dir)
+    selected = selection.select_final(selection.score_candidates(results))
+    number = F.element_at(F.split("candidate_id", "k-"), -1).cast("int")
+    candidates = results.select("candidate_id", number.alias("n"))
+    images = st.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(24))).alias("n"))
+    label = F.pmod(F.floor(F.col("image_id") / (F.col("n") + 2)), 2 + F.col("n") % 4).cast("int")
+    assignments = images.join(candidates, "n").select("image_id", "candidate_id", label.alias("cluster_label"))
+    return rounded(selection.candidate_agreement(selected, assignments))
+
+
 # --- feature cleaning ------------------------------------------------------------
 CLEAN_COLUMNS = (
     "num_particles", "particle_density", "mean_pixel_intensity", "area_median", "feret_p90", "solidity_median",
