@@ -246,14 +246,6 @@ SELECTION_WEIGHTS = {
     "smallest_cluster_fraction": 0.05,
     "granularity_score": 0.05,
 }
-BENCHMARK_COLUMNS = (
-    "candidate_id", "feature_space", "method", "method_variant", "k", "covariance_type",
-    "min_cluster_size", "min_samples", "random_seed", "num_clusters", "noise_points",
-    "noise_fraction", "smallest_cluster_fraction", "largest_cluster_fraction",
-    "tiny_cluster_flag", "silhouette_score", "calinski_harabasz_score", "davies_bouldin_score",
-    "bic", "aic", "fuzzy_partition_coefficient", "partition_entropy", "repeat_mean_ari",
-    "repeat_std_ari", "bootstrap_mean_ari", "bootstrap_std_ari", "cluster_size_distribution",
-)
 
 # --- cluster descriptions -----------------------------------------------------
 # (feature, phrase, threshold): phrase applies when z >= threshold

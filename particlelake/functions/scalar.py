@@ -115,11 +115,6 @@ def model_type(col: Column, default: str = "PM10") -> Column:
     return F.when(compact.isin("PM10", "PM25"), compact).otherwise(F.lit(default))
 
 
-def first_of(*cols: Column) -> Column:
-    """First value that is neither null nor the empty string."""
-    return F.coalesce(*[non_blank(c) for c in cols])
-
-
 def fixed_point(col: Column, digits: int, missing: str) -> Column:
     return F.when(finite(col).isNull(), F.lit(missing)).otherwise(
         F.format_string(f"%.{digits}f", finite(col))

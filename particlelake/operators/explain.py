@@ -12,7 +12,7 @@ from particlelake.functions import scalar
 from particlelake.operators.context import kruskal_wallis
 from particlelake.operators.order_stats import aggregate_with_percentiles
 from particlelake.operators.ranking import benjamini_hochberg
-from particlelake.runtime import HOT_GROUP_ROWS, broadcast_if_small, melt, one_row, quoted
+from particlelake.runtime import HOT_GROUP_ROWS, melt, one_row, quoted
 
 
 def _long(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -139,9 +139,8 @@ def projection_positions(
         F.count(F.lit(1)).alias("count"), F.avg("x").alias("pc1_mean"), F.avg("y").alias("pc2_mean"),
         F.stddev_pop("x").alias("pc1_std"), F.stddev_pop("y").alias("pc2_std"),
     )
-    small = broadcast_if_small(centres)
     dx, dy = F.col("x") - F.col("pc1_mean"), F.col("y") - F.col("pc2_mean")
-    measured = members.join(small, "cluster_label").select("cluster_label", F.sqrt(dx * dx + dy * dy).alias("d"))
+    measured = members.join(centres, "cluster_label").select("cluster_label", F.sqrt(dx * dx + dy * dy).alias("d"))
     spread = aggregate_with_percentiles(
         measured, ["cluster_label"], {"d": {"p90_distance_to_pca_centroid": 0.9}},
         [F.avg("d").alias("mean_distance_to_pca_centroid")], hot_rows=hot_rows,

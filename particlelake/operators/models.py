@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from particlelake.functions import scalar
 from particlelake.operators.order_stats import aggregate_with_percentiles
 from particlelake.operators.records import with_row_position
-from particlelake.runtime import broadcast_if_small, quoted
+from particlelake.runtime import quoted
 
 FOLDS = 5
 #: The deepest trees that Spark grows.
@@ -36,7 +36,7 @@ def with_balanced_weights(df: DataFrame, label: str) -> DataFrame:
     sizes = df.groupBy(quoted(label)).agg(F.count(F.lit(1)).alias("__n"))
     totals = sizes.agg(F.sum("__n").alias("n"), F.count(F.lit(1)).alias("k")).first()
     weights = sizes.select(quoted(label), (F.lit(totals["n"]) / (F.lit(totals["k"]) * F.col("__n"))).alias("weight"))
-    return df.join(broadcast_if_small(weights), label)
+    return df.join(weights, label)
 
 
 def balanced_accuracy(predicted: DataFrame, label: str = "label") -> float:

@@ -16,7 +16,6 @@ from particlelake.functions import scalar
 from particlelake.operators.order_stats import key_join, rank_counts
 from particlelake.runtime import (
     HOT_GROUP_ROWS,
-    broadcast_if_small,
     cut_lineage,
     has_more_rows_than,
     melt,
@@ -85,7 +84,7 @@ def with_centroid_distance(df: DataFrame, features: Sequence[str], label: str =
     members = df.where(quoted(label) != -1)
     centroids = cluster_centroids(members, features, label)
     return (
-        members.join(broadcast_if_small(centroids), label)
+        members.join(centroids, label)
         .withColumn("distance_to_cluster_centroid", F.sqrt(squared_distance(features)))
         .drop(*[f"__c_{f}" for f in features])
     )

@@ -12,19 +12,13 @@ from pyspark.sql import types as T
 from particlelake import fixed_values as fv
 from particlelake.functions import dates, geo, scalar
 from particlelake.operators.order_stats import key_join
-from particlelake.runtime import any_row, cut_lineage, quoted
+from particlelake.runtime import cut_lineage, quoted
 
 
 def _present(df: DataFrame, names: Sequence[str]) -> list[Column]:
     return [quoted(n) for n in names if n in df.columns]
 
 
-def first_present(df: DataFrame, *names: str) -> Column:
-    """First non-null, non-empty value among the spellings that exist in ``df``."""
-    found = _present(df, names)
-    return scalar.first_of(*found) if found else F.lit(None).cast("string")
-
-
 def _first_number(df: DataFrame, names: Sequence[str]) -> Column:
     found = [scalar.to_float(c, "prefix") for c in _present(df, names)]
     return F.coalesce(*found) if found else F.lit(None).cast("double")
@@ -218,10 +212,11 @@ def with_row_position(df: DataFrame, order: Sequence[str], output: str = "row_po
 
 
 def slice_rows(df: DataFrame, order: Sequence[str], offset: int = 0, limit: int = 0) -> DataFrame:
-    """Offset and limit in a total order; a zero limit keeps everything after it."""
-    if offset <= 0 and limit > 0:
-        return df.orderBy(*order).limit(limit)
-    if offset <= 0:
+    """Offset and limit in a total order; a zero limit keeps everything after it.
+
+    Rows are placed by ranges, so a limit of any size is no single task's work.
+    """
+    if offset <= 0 and limit <= 0:
         return df
     placed = with_row_position(df, order)
     keep = F.col("row_position") >= offset
@@ -459,9 +454,3 @@ def validate_records(records: DataFrame) -> DataFrame:
             "area_percentage": F.coalesce(F.col("area_percentage").cast("double"), F.lit(0.0)),
         }
     )
-
-
-def require_rows(df: DataFrame, message: str) -> DataFrame:
-    if not any_row(df):
-        raise ValueError(message)
-    return df

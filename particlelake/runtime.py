@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 # buffer (exact percentile) or to one window partition.
 HOT_GROUP_ROWS = 5_000_000
 
-# A side with more rows than this is never broadcast by an explicit hint.
-BROADCAST_ROWS = 200_000
-
 
 def checkpoint_root(spark: SparkSession) -> str:
     """Folder for reliable checkpoints, taken from ``spark.checkpoint.dir``.
@@ -50,11 +47,6 @@ def has_more_rows_than(df: DataFrame, rows: int) -> bool:
     return df.select(F.lit(1).alias("one")).agg(F.count("one")).first()[0] > rows
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; otherwise leave the join to AQE."""
-    return df if has_more_rows_than(df, rows) else F.broadcast(df)
-
-
 def any_row(df: DataFrame) -> bool:
     return not df.isEmpty()
 

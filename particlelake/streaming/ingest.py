@@ -33,10 +33,14 @@ def ingest_records_stream(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good = batch.where(F.col("rejection").isNull()).drop("rejection")
-        bad = batch.where(F.col("rejection").isNotNull())
-        good.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        batch = batch.persist()  # both parts come from one evaluation
+        try:
+            good = batch.where(F.col("rejection").isNull()).drop("rejection")
+            bad = batch.where(F.col("rejection").isNotNull())
+            good.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+            bad.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return _writer(validate_records(stream), checkpoint, once).foreachBatch(write).start()
 
