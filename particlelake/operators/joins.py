@@ -259,6 +259,15 @@ def resolve_labels(
     )
 
 
+def label_counts(resolved: DataFrame) -> DataFrame:
+    """(column, value, count) of the final labels and of their sources."""
+    columns = ("final_grid_label", "final_grid_label_source")
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).alias("value")) for c in columns])
+    return (
+        resolved.select(F.explode(entries).alias("e")).groupBy("e.column", "e.value").agg(F.count(F.lit(1)).alias("count"))
+    )
+
+
 def keep_ids(
     kept: DataFrame,
     tables: Mapping[str, DataFrame],

@@ -64,9 +64,7 @@ def join_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("image_id", "places_matched", "total", "place_diversity_entropy", "dominant_place_category"))
 
 
-@query(
-    "resolve_labels",
-    """WITH m AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'grid' WHEN quality = 1 THEN ' no_grid ' ELSE ' ' END AS hand FROM labels),
+_RESOLVED_SQL = """WITH m AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'grid' WHEN quality = 1 THEN ' no_grid ' ELSE ' ' END AS hand FROM labels),
 r AS (SELECT d.doc_id AS image_id, coalesce(trim(hand), '') AS hand,
         CASE WHEN lang = 'en' THEN 'grid' WHEN lang = 'fr' THEN 'uncertain' WHEN lang = 'de' THEN 'no_grid' ELSE '' END AS guess
       FROM documents d LEFT JOIN m USING (doc_id))
@@ -74,8 +72,10 @@ SELECT image_id, guess AS roi_grid_label, hand AS manual_grid_label,
        CASE WHEN hand <> '' THEN hand WHEN guess = 'grid' THEN 'grid' WHEN guess IN ('no_grid', 'uncertain') THEN 'no_grid' ELSE 'unknown' END AS final_grid_label,
        CASE WHEN hand <> '' THEN 'manual_label' WHEN guess = 'grid' THEN 'predicted_grid'
             WHEN guess IN ('no_grid', 'uncertain') THEN 'predicted_non_grid_rule' ELSE 'missing_prediction' END AS final_grid_label_source
-FROM r""",
-)
+FROM r"""
+
+
+@query("resolve_labels", _RESOLVED_SQL)
 def resolve_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = st.table(spark, sf_dir, "documents"), st.table(spark, sf_dir, "labels")
     rows = docs.select(F.col("doc_id").alias("image_id"))
@@ -91,6 +91,16 @@ def resolve_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.resolve_labels(rows, manual, predicted)
 
 
+@query(
+    "label_counts",
+    f"""WITH f AS ({_RESOLVED_SQL})
+SELECT 'final_grid_label' AS column, final_grid_label AS value, count(*) AS count FROM f GROUP BY ALL
+UNION ALL SELECT 'final_grid_label_source', final_grid_label_source, count(*) FROM f GROUP BY ALL""",
+)
+def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.label_counts(resolve_labels(spark, sf_dir))
+
+
 @query(
     "keep_ids",
     """SELECT l_orderkey AS image_id, l_linenumber, l_partkey FROM lineitem
