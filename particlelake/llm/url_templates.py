@@ -59,16 +59,22 @@ def _differs(bad: str, n: str, bad_all: str, n_all: str) -> Column:
 
 
 def path_templates(paths: DataFrame, depth: int = DEPTH, min_urls: int = MIN_URLS) -> DataFrame:
-    """(host, shape, template) of distinct ``paths(host, shape, urls, labelled, bad)``."""
+    """(host, shape, template) of distinct ``paths(host, shape, urls, labelled, bad)``.
+
+    Every level of the tree is written before the next one reads it.
+    """
     segments = F.filter(F.split("shape", "/"), lambda s: s != "")
     deep = F.concat(F.slice(segments, 1, depth), F.array(F.array_join(F.slice(segments, depth + 1, 1 << 20), "/")))
     tree = paths.withColumn("segments", F.when(F.size(segments) > depth, deep).otherwise(segments)).withColumn("template", F.lit(""))
     for level in range(depth + 1):
         tree = tree.withColumn("segment", F.get("segments", F.lit(level)))
-        branches = (
+        branches = stored(
             tree.where("segment is not null").groupBy("host", "template", "segment")
-            .agg(F.sum("urls").alias("b_urls"), F.sum("labelled").alias("b_n"), F.sum("bad").alias("b_bad"))
+            .agg(F.sum("urls").alias("b_urls"), F.sum("labelled").alias("b_n"), F.sum("bad").alias("b_bad")),
+            "branches",
         )
+        if branches.isEmpty():
+            break
         siblings = branches.groupBy("host", "template").agg(
             F.sum("b_n").alias("s_n"), F.sum("b_bad").alias("s_bad"), F.count(F.lit(1)).alias("s_branches")
         )
@@ -78,7 +84,8 @@ def path_templates(paths: DataFrame, depth: int = DEPTH, min_urls: int = MIN_URL
             "host", "template", "segment", F.when(literal, F.col("segment")).otherwise(WILD).alias("kept")
         )
         grown = F.when(F.col("kept").isNotNull(), F.concat("template", F.lit("/"), "kept")).otherwise(F.col("template"))
-        tree = tree.join(decided, ["host", "template", "segment"], "left").withColumn("template", grown).drop("kept")
+        grown_tree = tree.join(decided, ["host", "template", "segment"], "left").withColumn("template", grown)
+        tree = stored(grown_tree.drop("kept", "segment"), "tree")
     return tree.select("host", "shape", "template")
 
 
