@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from particlelake.llm.common import Batches, binary_values, column_values, in_slices, plain_names, row_signature, stored
 
 MARK = "▁"
+CHARACTER_BITS = 21
 END = "</s>"
 #: Words with their counts that every task gets; the count limit follows from the corpus.
 FREQUENT_WORDS = 1 << 17
@@ -51,13 +52,28 @@ class Vocabulary:
         self.end = self.ids[END]
         inner = set(self.bytes) | {self.end}
         self.lattice = {p: i for p, i in self.ids.items() if i not in inner}
-        self.prefixes = {p[:k] for p in self.lattice for k in range(1, len(p) + 1)}
+        self._grow()
         rank = np.empty(len(scores))
         rank[np.argsort(-np.array(scores), kind="stable")] = np.arange(len(scores))
         first = 1 / (rank + 2)
         self.first_weights = np.log(first / first.sum())
 
 
+    def _grow(self) -> None:
+        """The pieces as a trie in sorted arrays: (state, character) -> next state, and its piece."""
+        states, edges = {"": 0}, []
+        for piece in self.lattice:
+            for k in range(1, len(piece) + 1):
+                if piece[:k] not in states:
+                    states[piece[:k]] = len(states)
+                    edges.append((states[piece[: k - 1]] << CHARACTER_BITS | ord(piece[k - 1]), states[piece[:k]]))
+        edges.sort()
+        self.keys, self.next = (np.array(x, np.int64) for x in zip(*edges))
+        self.piece_at = np.full(len(states), -1, np.int64)
+        for piece, number in self.lattice.items():
+            self.piece_at[states[piece]] = number
+
+
 _VOCABULARIES: dict[str, Vocabulary] = {}
 
 
@@ -75,36 +91,37 @@ class Lattices:
     """
 
     def __init__(self, words: list[str], vocab: Vocabulary):
-        begin, end, piece, base = [], [], [], [0]
-        fallback: dict[str, int] = {}
-        pieces, prefixes, offset = vocab.lattice, vocab.prefixes, len(vocab.pieces)
-        at = 0
-        for word in words:
-            text = MARK + word
-            size = len(text)
-            for i in range(size):
-                covered = False
-                for j in range(i + 1, size + 1):
-                    part = text[i:j]
-                    if part not in prefixes:
-                        break
-                    number = pieces.get(part)
-                    if number is not None:
-                        begin.append(at + i)
-                        end.append(at + j)
-                        piece.append(number)
-                        covered |= j == i + 1
-                if not covered:
-                    begin.append(at + i)
-                    end.append(at + i + 1)
-                    piece.append(offset + fallback.setdefault(text[i], len(fallback)))
-            at += size + 1
-            base.append(at)
-        self.begin, self.end, self.piece = (np.array(x, np.int64) for x in (begin, end, piece))
-        self.base = np.array(base, np.int64)
-        self.fallback = [[vocab.bytes[b] for b in c.encode("utf-8")] for c in fallback]
-        word_of = np.searchsorted(self.base, self.begin, side="right") - 1
-        self.word_of = word_of
+        lengths = np.array([len(w) + 1 for w in words], np.int64)
+        codes = np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le"), "<u4").astype(np.int64)
+        owner = np.repeat(np.arange(len(words)), lengths)
+        stop = np.cumsum(lengths)[owner]
+        begin, end, piece, covered = [], [], [], np.zeros(len(codes), bool)
+        # All places of all words go down the trie together, one character a step.
+        at, state, step = np.arange(len(codes)), np.zeros(len(codes), np.int64), 0
+        while len(at):
+            wanted = state << CHARACTER_BITS | codes[at + step]
+            place = np.minimum(np.searchsorted(vocab.keys, wanted), len(vocab.keys) - 1)
+            hit = vocab.keys[place] == wanted
+            at, state = at[hit], vocab.next[place[hit]]
+            found = vocab.piece_at[state]
+            whole = at[found >= 0]
+            begin.append(whole)
+            end.append(whole + step + 1)
+            piece.append(found[found >= 0])
+            if step == 0:
+                covered[whole] = True
+            step += 1
+            on = at + step < stop[at]
+            at, state = at[on], state[on]
+        bare = np.flatnonzero(~covered)
+        characters, number = np.unique(codes[bare], return_inverse=True)
+        begin, end = np.concatenate([*begin, bare]), np.concatenate([*end, bare + 1])
+        self.piece = np.concatenate([*piece, number + len(vocab.pieces)])
+        self.fallback = [[vocab.bytes[b] for b in chr(c).encode("utf-8")] for c in characters.tolist()]
+        # A word has one node more than characters.
+        self.word_of = word_of = owner[begin]
+        self.begin, self.end = begin + word_of, end + word_of
+        self.base = np.concatenate(([0], np.cumsum(lengths + 1)))
         self.forward_steps = self._steps(self.end - self.base[word_of])
         self.backward_steps = self._steps(self.begin - self.base[word_of])[::-1]
 
