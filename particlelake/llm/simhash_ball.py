@@ -12,6 +12,7 @@ so a variant yields a star, never pairs.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,24 +27,35 @@ SEED = 42
 HASHES_AT_ONCE = 1 << 16
 
 
-def text_fingerprint(text: bytes, words: int) -> int:
-    """Unsigned 64-bit SimHash of the word shingles of one text."""
+def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
+    """64-bit hashes of the word shingles of one text, some thousands at a time."""
     found = text.lower().split()
     if not found:
-        return 0
+        return
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(words, len(found))
     first, last = starts[: len(found) - width + 1].tolist(), ends[width - 1:].tolist()
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
     for begin in range(0, len(first), HASHES_AT_ONCE):
         pairs = zip(first[begin: begin + HASHES_AT_ONCE], last[begin: begin + HASHES_AT_ONCE])
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in pairs], dtype=">u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+        yield np.array([digest(joined[s:e], SEED) for s, e in pairs], dtype=np.uint64)
+
+
+def fingerprint_of(hashes: Iterable[np.ndarray]) -> int:
+    """Unsigned 64-bit SimHash of shingle hashes; 0 for none."""
+    ones, n = np.zeros(64, np.int64), 0
+    for part in hashes:
+        bits = np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(first)).view(">u8")[0])
+        n += len(part)
+    return int(np.packbits(2 * ones > n).view(">u8")[0])
+
+
+def text_fingerprint(text: bytes, words: int) -> int:
+    """Unsigned 64-bit SimHash of the word shingles of one text."""
+    return fingerprint_of(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
