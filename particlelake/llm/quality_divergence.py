@@ -34,6 +34,9 @@ REPEAT = 8
 MIN_REFERENCE_WORDS = 5_000
 MIN_CHARS, MAX_CHAR_DISTANCE = 200, 0.33
 MIN_WORDS, MAX_WORD_DISTANCE = 50, 0.42
+#: A text at this part of the distance of one without common words lacks them too,
+#: if the reference leads one to expect at least so many common words in it.
+LACKS_COMMON, MIN_EXPECTED = 0.93, 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -120,6 +123,18 @@ def jensen_shannon(counts: Column, shares: Column) -> Column:
     return let(total, distance)
 
 
+def lacking_limit(key: Column, shares: Column, n_words: Column) -> Column:
+    """The word distance from which a text lacks its language's common words; null if it cannot tell.
+
+    It follows the distance of a text without any common word, so it lies below that
+    distance for every language. Languages without a list of their own have no such limit.
+    """
+    other = F.element_at(shares, -1)
+    none = F.transform(shares, lambda s, i: (i == F.size(shares) - 1).cast("long"))
+    expected = n_words * (1 - other)
+    return F.when((key != OTHER) & (expected >= MIN_EXPECTED), LACKS_COMMON * jensen_shannon(none, shares))
+
+
 def document_counts(text: Column, key: Column) -> Column:
     """Everything that is counted in a text, as one struct that is computed once."""
 
@@ -175,7 +190,7 @@ def quality_verdicts(
     (longs), ``base_failed``, ``char_distance``, ``word_distance`` (null under the length
     guards) and ``kept``. A document fails the base rules with fewer than ``min_words``
     words or more than ``max_repeated`` of them repeated, and the method's rule if a
-    distance exceeds its limit. No Python runs and nothing is shuffled but sums. Null
+    distance exceeds its limit or the text lacks common words (``lacking_limit``). No Python runs and nothing is shuffled but sums. Null
     texts have no words and fail; languages without a word list, and null ones, share
     a reference; repeated rows get equal results; columns of ``docs`` named like a result are
     replaced; an empty table gives an empty one.
@@ -193,8 +208,10 @@ def quality_verdicts(
     chars = F.when(found["word_chars"] >= MIN_CHARS, jensen_shannon(found["class_counts"], ref["class_shares"]))
     words = F.when(found["n_words"] >= MIN_WORDS, jensen_shannon(found["word_counts"], ref["word_shares"]))
     failed = (found["n_words"] < min_words) | (100 * found["n_repeat_words"] > round(100 * max_repeated) * found["n_words"])
+    lacking = lacking_limit(F.col("__key"), ref["word_shares"], found["n_words"]).alias("__lacking")
     measured = counted.join(F.broadcast(references), "__key", "left").select(
-        *carried, *[found[n].alias(n) for n in COUNTS], failed.alias("base_failed"), chars.alias("char_distance"), words.alias("word_distance")
+        *carried, *[found[n].alias(n) for n in COUNTS], failed.alias("base_failed"), chars.alias("char_distance"), words.alias("word_distance"), lacking
     )
     far = F.coalesce(F.col("char_distance") > MAX_CHAR_DISTANCE, F.lit(False)) | F.coalesce(F.col("word_distance") > MAX_WORD_DISTANCE, F.lit(False))
-    return measured.withColumn("kept", ~(F.col("base_failed") | far))
+    far = far | F.coalesce(F.col("word_distance") > F.col("__lacking"), F.lit(False))
+    return measured.withColumn("kept", ~(F.col("base_failed") | far)).drop("__lacking")
