@@ -10,6 +10,7 @@ tree is built on those counts, so a large host is many partial sums, never one t
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,8 +19,6 @@ from pyspark.sql import functions as F
 from particlelake.llm.common import plain_names, stored
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Tree levels; what is deeper stays one last segment.
-DEPTH = 4
 MIN_URLS = 5
 #: Two-sided 95 % limit of the normal distribution.
 DIFFERENT = 1.96
@@ -58,34 +57,41 @@ def _differs(bad: str, n: str, bad_all: str, n_all: str) -> Column:
     return F.coalesce((spread > 0) & (gap >= DIFFERENT * spread), F.lit(False))
 
 
-def path_templates(paths: DataFrame, depth: int = DEPTH, min_urls: int = MIN_URLS) -> DataFrame:
+def path_templates(paths: DataFrame, min_urls: int = MIN_URLS) -> DataFrame:
     """(host, shape, template) of distinct ``paths(host, shape, urls, labelled, bad)``.
 
-    Every level of the tree is written before the next one reads it.
+    Every level of the tree is written before the next one reads it. It grows until no
+    branch is left to decide: below a node of one path everything is alone, and below
+    one of fewer than ``min_urls`` urls everything is rare.
     """
     segments = F.filter(F.split("shape", "/"), lambda s: s != "")
-    deep = F.concat(F.slice(segments, 1, depth), F.array(F.array_join(F.slice(segments, depth + 1, 1 << 20), "/")))
-    tree = paths.withColumn("segments", F.when(F.size(segments) > depth, deep).otherwise(segments)).withColumn("template", F.lit(""))
-    for level in range(depth + 1):
+    tree = paths.withColumn("segments", segments).withColumn("template", F.lit(""))
+    for level in itertools.count():
         tree = tree.withColumn("segment", F.get("segments", F.lit(level)))
         branches = stored(
             tree.where("segment is not null").groupBy("host", "template", "segment")
-            .agg(F.sum("urls").alias("b_urls"), F.sum("labelled").alias("b_n"), F.sum("bad").alias("b_bad")),
+            .agg(F.sum("urls").alias("b_urls"), F.count(F.lit(1)).alias("b_paths"), F.sum("labelled").alias("b_n"), F.sum("bad").alias("b_bad")),
             "branches",
         )
         if branches.isEmpty():
             break
         siblings = branches.groupBy("host", "template").agg(
-            F.sum("b_n").alias("s_n"), F.sum("b_bad").alias("s_bad"), F.count(F.lit(1)).alias("s_branches")
+            F.sum("b_n").alias("s_n"), F.sum("b_bad").alias("s_bad"), F.count(F.lit(1)).alias("s_branches"),
+            F.sum("b_urls").alias("s_urls"), F.sum("b_paths").alias("s_paths"),
         )
         alone = F.col("s_branches") == 1
         literal = (F.col("b_urls") >= min_urls) & (alone | _differs("b_bad", "b_n", "s_bad", "s_n"))
         decided = branches.join(siblings, ["host", "template"]).select(
-            "host", "template", "segment", F.when(literal, F.col("segment")).otherwise(WILD).alias("kept")
+            "host", "template", "segment", F.when(literal, F.col("segment")).otherwise(WILD).alias("kept"),
+            ((F.col("s_paths") == 1) | (F.col("s_urls") < min_urls)).alias("last"),
         )
-        grown = F.when(F.col("kept").isNotNull(), F.concat("template", F.lit("/"), "kept")).otherwise(F.col("template"))
-        grown_tree = tree.join(decided, ["host", "template", "segment"], "left").withColumn("template", grown)
-        tree = stored(grown_tree.drop("kept", "segment"), "tree")
+        left = F.slice("segments", level + 1, 1 << 30)
+        below = F.when(F.col("kept") == WILD, F.transform(left, lambda s: F.lit(WILD))).otherwise(left)
+        added = F.when(F.col("last"), F.array_join(below, "/")).otherwise(F.col("kept"))
+        grown = F.when(F.col("kept").isNotNull(), F.concat("template", F.lit("/"), added)).otherwise(F.col("template"))
+        joined = tree.join(decided, ["host", "template", "segment"], "left")
+        rest = F.when(F.col("last"), F.slice("segments", 1, level + 1)).otherwise(F.col("segments"))
+        tree = stored(joined.withColumns({"template": grown, "segments": rest}).drop("kept", "last", "segment"), "tree")
     return tree.select("host", "shape", "template")
 
 
@@ -95,7 +101,6 @@ def url_verdicts(
     labels: DataFrame,
     reject_at: float = 0.6,
     prior_weight: float = 10.0,
-    depth: int = DEPTH,
     min_urls: int = MIN_URLS,
     id_col: str = "page_id",
     url_col: str = "url",
@@ -120,7 +125,7 @@ def url_verdicts(
         .agg(F.count(F.lit(1)).alias("urls"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")),
         "paths",
     )
-    templates = stored(path_templates(paths, depth, min_urls), "templates")
+    templates = stored(path_templates(paths, min_urls), "templates")
     known = paths.join(templates, ["host", "shape"])
     all_of = known.agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("n"))
     prior = all_of.select(F.coalesce(F.col("bad") / F.nullif("n", F.lit(0)), F.lit(0.0))).scalar()
