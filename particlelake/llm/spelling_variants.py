@@ -7,56 +7,79 @@ spoils at most one pivot. If the prefix of a word ends no later in the order tha
 of its neighbour, a pivot that survives lies in the neighbour's prefix: all grams up to there do.
 
 Where it lies is limited too: the edit is behind the end of the first pivot, or
-before the start of the second one. In the first case all that leads up to the first pivot
-is unchanged, in the second all that follows the start of the second. So the index key of an
-occurrence is the hash of the word up to its end, or from its start, and positions
-agree from that side. Candidates are verified by their edit distance.
+before the start of the second one, so positions agree from one end, and all up to that end
+is unchanged. Of the rest, one of two halves is unchanged as well. The index key of an
+occurrence is therefore its position from that end, the word's length, the unchanged side
+and one half of the rest; a pivot asks for the lengths that one edit allows. Such keys
+meet little but neighbours; candidates are verified by their edit distance.
 """
 
 from __future__ import annotations
 
-import string
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from particlelake.llm.common import Batches, in_slices, stored
 
-RUN = "[A-Za-z\\u00C0-\\u00FF]+"
+#: Code points that make up words, as Latin-1; capitals A-Z become small, all else is a gap.
+LETTERS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0xC0 else 0x20 for c in range(256))
 #: Counters of bigrams, so what travels to tasks does not grow with the alphabet.
 COUNTERS = 1 << 16
 PREFIX, SHORTEST = 3, 4
+COUNTED_AT_ONCE = 200_000
 
 
-def _lower_ascii(run: Column) -> Column:
-    ascii_only = F.octet_length(run) == F.length(run)
-    slow = F.translate(run, string.ascii_uppercase, string.ascii_lowercase)
-    return F.when(~run.rlike("[A-Z]"), run).when(ascii_only, F.lower(run)).otherwise(slow)
+def misspelt(run: bytes, prefix_crc: int, every: int) -> bytes:
+    """A run of Latin-1 letters, or, if a hash says so, the run without one of them."""
+    h = zlib.crc32(run if run.isascii() else run.decode("latin-1").encode(), prefix_crc)
+    if h % every:
+        return run
+    k = h % len(run)
+    return run[:k] + run[k + 1:]
 
 
-def misspelt_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 97) -> DataFrame:
-    """``word`` of every letter run of all texts, one in ``every`` without one of its letters.
+def word_counts(
+    docs: DataFrame, min_length: int = 5, min_count: int = 3, id_col: str = "doc_id", text_col: str = "text", every: int = 97
+) -> DataFrame:
+    """(word, n) of the distinct letter runs of whole texts with enough code points and occurrences.
 
-    Runs are lower-cased in A-Z only; a hash of id and run decides. Null ids count as empty strings,
-    null texts hold no run.
+    Runs are of ASCII letters and U+00C0 to U+00FF, lower-cased in A-Z only; one in ``every`` by a hash of
+    id and run loses a letter first. Null ids count as empty strings, null texts hold no run.
+    Tasks add up a bounded number of words before they send them on.
     """
-    name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
-    runs = docs.select(name.alias("id"), F.explode(F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(RUN), F.lit(0))).alias("run"))
-    low = runs.select("id", _lower_ascii(F.col("run")).alias("run"))
-    hashed = low.select("run", F.crc32(F.concat("id", F.lit(":"), "run")).alias("h"))
-    at = (F.col("h") % F.length("run")).cast("int")
-    cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
-    return hashed.select(F.when(F.col("h") % every == 0, cut).otherwise(F.col("run")).alias("word"))
 
-
-def word_counts(words: DataFrame, min_length: int = 5, min_count: int = 3) -> DataFrame:
-    """(word, n) of distinct ``word`` values of enough code points and occurrences."""
-    long_enough = words.where(F.length("word") >= min_length)
-    return long_enough.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
+    def run(batches: Batches) -> Batches:
+        counts: dict[bytes, int] = {}
+
+        def drained() -> pa.RecordBatch:
+            words = pa.array([w.decode("latin-1") for w in counts], pa.string())
+            batch = pa.RecordBatch.from_arrays([words, pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            counts.clear()
+            return batch
+
+        for batch in in_slices(batches, 100):
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if text is None:
+                    continue
+                crc = zlib.crc32(f"{name or ''}:".encode())
+                for found, n in Counter(text.encode("latin-1", "replace").translate(LETTERS).split()).items():
+                    if len(found) >= min_length:
+                        word = misspelt(found, crc, every)
+                        if len(word) >= min_length:
+                            counts[word] = counts.get(word, 0) + n
+                if len(counts) > COUNTED_AT_ONCE:
+                    yield drained()
+        yield drained()
+
+    named = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    partial = named.mapInArrow(run, "word string, n long")
+    return partial.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
 
 
 def _bucket(gram: str) -> int:
@@ -98,23 +121,47 @@ def pivots(word: str, prefix: list[int], counts: np.ndarray) -> tuple[int, int]:
     return two[1], two[2]
 
 
-def _keys(word: bytes, side: int) -> int:
-    return xxhash.xxh64_intdigest(word, seed=side)
+def _key(text: str, length: int, at: int, kind: int) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=(length << 32) + (at << 2) + kind)
+
+
+def offered_keys(word: str, at: int, side: int) -> list[int]:
+    """Index keys of the occurrence of a bigram at ``at``, for edits behind it: with either half of the rest."""
+    end, n = at + 2, len(word)
+    middle = (end + n) // 2
+    return [_key(word[:middle], n, at, side), _key(f"{word[:end]}\0{word[middle:]}", n, at, side + 2)]
+
+
+def asked_keys(word: str, at: int, side: int) -> list[int]:
+    """The keys under which neighbours that are unchanged up to the bigram at ``at`` are found."""
+    end, keys = at + 2, []
+    for n in range(max(end, len(word) - 1), len(word) + 2):
+        middle = (end + n) // 2
+        if middle <= len(word):
+            keys.append(_key(word[:middle], n, at, side))
+        if n - middle <= len(word) - end:
+            keys.append(_key(f"{word[:end]}\0{word[len(word) - n + middle:]}", n, at, side + 2))
+    return keys
 
 
 def _signatures(words: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(word, n, pivots, prefix): index keys of each word."""
+    """(word, n, pivots, prefix): keys a word asks for, and keys it is found under.
+
+    The second pivot, and every occurrence a second time, is seen from the word's other end.
+    """
 
     def run(batches: Batches) -> Batches:
         for batch in in_slices(batches, 5000):
-            chosen, offered = [], []
+            asked, offered = [], []
             for word in batch.column(0).to_pylist():
-                prefix = gram_prefix(word, counts)
+                prefix, back = gram_prefix(word, counts), word[::-1]
                 first, second = pivots(word, prefix, counts)
-                chosen.append(np.array([_keys(word[: first + 2].encode(), 0), _keys(word[second:].encode(), 1)], np.uint64).view(np.int64))
-                offered.append(np.array([k for p in prefix for k in (_keys(word[: p + 2].encode(), 0), _keys(word[p:].encode(), 1))], np.uint64).view(np.int64))
+                ask = asked_keys(word, first, 0) + asked_keys(back, len(word) - 2 - second, 1)
+                offer = [k for p in prefix for k in offered_keys(word, p, 0) + offered_keys(back, len(word) - 2 - p, 1)]
+                asked.append(np.array(ask, np.uint64).view(np.int64))
+                offered.append(np.array(offer, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(chosen, pa.list_(pa.int64())), pa.array(offered, pa.list_(pa.int64()))], names=["word", "n", "pivots", "prefix"]
+                [*batch.columns, pa.array(asked, pa.list_(pa.int64())), pa.array(offered, pa.list_(pa.int64()))], names=["word", "n", "pivots", "prefix"]
             )
 
     return words.mapInArrow(run, "word string, n long, pivots array<bigint>, prefix array<bigint>")
@@ -123,7 +170,7 @@ def _signatures(words: DataFrame, counts: np.ndarray) -> DataFrame:
 def near_words(words: DataFrame) -> DataFrame:
     """(word, n, near, near_n): all ordered pairs of ``words(word, n)`` exactly one edit apart."""
     signed = stored(_signatures(words.select("word", F.col("n").cast("long").alias("n")), gram_counts(words)), "word-grams")
-    asking = signed.select("word", "n", F.explode("pivots").alias("key"))
+    asking = signed.select("word", "n", F.explode(F.array_distinct("pivots")).alias("key"))
     offering = signed.select(F.col("word").alias("near"), F.col("n").alias("near_n"), F.explode(F.array_distinct("prefix")).alias("key"))
     met = asking.join(offering, "key").where(F.abs(F.length("word") - F.length("near")) <= 1)
     close = met.where("word <> near").where(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
@@ -169,4 +216,4 @@ def spelling_variants(words: DataFrame, factor: int = 2) -> DataFrame:
 
 def document_variants(docs: DataFrame, min_length: int = 5, min_count: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spelling variants among the words of whole texts, with misspellings put in by a hash."""
-    return spelling_variants(word_counts(misspelt_runs(docs, id_col, text_col), min_length, min_count))
+    return spelling_variants(word_counts(docs, min_length, min_count, id_col, text_col))
