@@ -39,6 +39,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one operator that no lazy result reads: all are deleted when it ends.
+
+    Each is written like ``stored``; the shuffle files of that job go once it is committed.
+    """
+
+    #: Shuffle files of a finished query are of no more use to a table that is written once.
+    CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for folder in self.folders:
+            fs, path = filesystem(folder)
+            if fs.get_file_info(path).type == pafs.FileType.Directory:
+                fs.delete_dir(path)
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_folder(self.spark, name)
+        self.folders.append(path)
+        before = self.spark.conf.get(self.CLEAN_UP, "false")
+        self.spark.conf.set(self.CLEAN_UP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(self.CLEAN_UP, before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def row_signature(text: Column) -> Column:
     """Tells rows apart that share an id but not their text; null has one too."""
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())

@@ -12,6 +12,7 @@ so a variant yields a star, never pairs.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -75,35 +76,50 @@ def _single_flips(first: int, last: int) -> Column:
     return F.expr(f"transform(sequence({first}, {last}), i -> shiftleft(1L, i))")
 
 
-def _block_masks() -> list[int]:
-    """Masks of every three of six blocks of bits, as signed numbers."""
-    edges = [round(k * 64 / 6) for k in range(7)]
-    blocks = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edges, edges[1:])]
-    masks = [x | y | z for x, y, z in itertools.combinations(blocks, 3)]
+def _block_masks(blocks: int) -> list[int]:
+    """Masks of all but three of ``blocks`` blocks of bits, as signed numbers."""
+    edges = [round(k * 64 / blocks) for k in range(blocks + 1)]
+    parts = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edges, edges[1:])]
+    masks = [sum(chosen) for chosen in itertools.combinations(parts, blocks - 3)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _crowded(prints: DataFrame) -> DataFrame:
-    """Fingerprints that agree with another one in three of six blocks of bits.
+def _blocks_for(prints: int) -> int:
+    """The fewest blocks of bits at which ``prints`` random fingerprints seldom agree in all but three."""
+    for blocks in range(5, 12):
+        if prints * math.comb(blocks, 3) <= 0.1 * 2 ** (64 * (blocks - 3) / blocks):
+            return blocks
+    return 12
 
-    Three differing bits leave three blocks alike, so nothing else can have a partner
-    and need not emit its ball.
+
+def _crowded(prints: DataFrame, within: list[str]) -> DataFrame:
+    """Distinct fingerprints that agree with another one in all but three of some blocks of bits.
+
+    Three differing bits leave all other blocks alike, so nothing else can have a partner
+    and need not emit its ball. The number of blocks follows that of the fingerprints; it
+    changes the work, not the links.
     """
-    masks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("m")) for i, m in enumerate(_block_masks())])
-    keys = F.transform(masks, lambda m: F.xxhash64(m["i"], F.col("fingerprint").bitwiseAND(m["m"])))
-    blocks = prints.select("fingerprint", F.explode(keys).alias("key"))
-    met = blocks.groupBy("key").agg(F.min("fingerprint").alias("lo"), F.max("fingerprint").alias("hi")).where("lo <> hi")
-    return blocks.join(met.select("key"), "key", "left_semi").select("fingerprint").distinct()
+    distinct = prints.distinct()
+    found = _block_masks(_blocks_for(distinct.count()))
+    masks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("m")) for i, m in enumerate(found)])
+    keys = F.transform(masks, lambda m: F.xxhash64(m["i"], F.col("fingerprint").bitwiseAND(m["m"]), *within))
+    blocks = distinct.select("*", F.explode(keys).alias("key"))
+    order = Window.partitionBy("key").orderBy("fingerprint", *within)
+    company = F.lag("fingerprint").over(order).isNotNull() | F.lead("fingerprint").over(order).isNotNull()
+    return blocks.withColumn("met", company).where("met").select(*prints.columns).distinct()
 
 
-def ball_links(prints: DataFrame, radius: int = 3) -> DataFrame:
+def ball_links(prints: DataFrame, radius: int = 3, within: str | None = None) -> DataFrame:
     """(a, b) links that connect all distinct ``fingerprint`` values ``radius`` or fewer bits apart.
 
-    The links are a spanning set: components are exact, and every link is verified.
-    A variant holds at most 2,081 fingerprints, so no window partition is large.
+    With ``within``, a column that tells kinds of fingerprints apart, only those of one kind
+    are linked and (within, a, b) is returned. The links are a spanning set: components
+    are exact, and every link is verified. A variant holds at most 2,081 fingerprints, so no
+    window partition is large.
     """
     if radius not in (1, 2, 3):
         raise ValueError("radius must be 1, 2 or 3")
+    kind = [within] if within else []
     fp = F.col("fingerprint")
     itself = F.array(F.lit(0).cast("long"))
     singles = _single_flips(0, 63)
@@ -119,11 +135,12 @@ def ball_links(prints: DataFrame, radius: int = 3) -> DataFrame:
         F.when(odd, F.transform(far, lambda m: F.struct(fp.bitwiseXOR(m).alias("variant"), F.lit(False).alias("near"))))
         .otherwise(F.expr("cast(array() as array<struct<variant: bigint, near: boolean>>)")),
     )
-    emitted = _crowded(prints).select("fingerprint", F.explode(balls).alias("v")).select("fingerprint", "v.variant", "v.near")
-    centre = F.min(F.when(F.col("near"), fp)).over(Window.partitionBy("variant"))
+    crowded = _crowded(prints.select(*kind, "fingerprint"), kind)
+    emitted = crowded.select(*kind, "fingerprint", F.explode(balls).alias("v")).select(*kind, "fingerprint", "v.variant", "v.near")
+    centre = F.min(F.when(F.col("near"), fp)).over(Window.partitionBy(*kind, "variant"))
     met = emitted.withColumn("centre", centre).where("centre is not null and centre <> fingerprint")
     close = met.where(F.bit_count(fp.bitwiseXOR(F.col("centre"))) <= radius)
-    return close.select(fp.alias("a"), F.col("centre").alias("b")).distinct()
+    return close.select(*kind, fp.alias("a"), F.col("centre").alias("b")).distinct()
 
 
 def near_duplicates(

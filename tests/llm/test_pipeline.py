@@ -12,6 +12,7 @@ from particlelake.llm import queries
 from particlelake.llm.common import stored
 from tests.conftest import SMALL
 from tests.llm import brute
+from tests.llm.test_similar_texts import similar_groups
 
 
 @pytest.fixture(scope="module")
@@ -42,8 +43,8 @@ def test_quality(stages):
 
 def test_near_duplicates(stages):
     before, after = rows_of(stages[1]), rows_of(stages[2])
-    groups = brute.simhash({i: r["text"] for i, r in before.items()})
-    assert after == {i: r for i, r in before.items() if groups[i][1] == i}
+    groups = similar_groups({i: r["text"] for i, r in before.items()})
+    assert after == {i: r for i, r in before.items() if groups[i] == i}
     assert len(after) < len(before)
 
 
