@@ -50,25 +50,17 @@ def loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("kmeans")
 def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partition.kmeans(4, n_init=3)(_space(spark, sf_dir), FEATURES, 7)[0]
-
-
-@query("ward")
-def ward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact merges of all rows of a table within the exact limit."""
-    return partition.ward(4, "exact")(_space(spark, sf_dir), FEATURES, 7)[0]
+    return partition.kmeans(4)(_space(spark, sf_dir), FEATURES, 7)[0]
 
 
 @query("ward_micro")
 def ward_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partition.ward(4, "micro")(_space(spark, sf_dir), FEATURES, 7)[0]
+    return partition.ward(4)(_space(spark, sf_dir), FEATURES, 7)[0]
 
 
 @query("gmm_full")
 def gmm_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full covariances of the first dimensions; Spark's mixture underflows on all 64."""
-    few = FEATURES[:8]
-    return mixture.gmm(3, "full")(_space(spark, sf_dir).select("image_id", *few), few, 7)[0]
+    return mixture.gmm(3, "full")(_space(spark, sf_dir), FEATURES, 7)[0]
 
 
 @query("gmm_diag")
@@ -99,25 +91,24 @@ def core_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("repeat_stability")
 def repeat_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mean, std = stability.repeat_stability(_space(spark, sf_dir), FEATURES, partition.kmeans(3, n_init=1), 3, 7)
+    mean, std = stability.repeat_stability(_space(spark, sf_dir), FEATURES, partition.kmeans(3), 10, 7)
     return spark.createDataFrame([(mean, std)], "repeat_mean_ari double, repeat_std_ari double")
 
 
 @query("bootstrap_stability")
 def bootstrap_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    space, fit = _space(spark, sf_dir), partition.kmeans(3, n_init=1)
+    space, fit = _space(spark, sf_dir), partition.kmeans(3)
     labels = fit(space, FEATURES, 7)[0]
-    mean, std = stability.bootstrap_stability(space, FEATURES, fit, labels, 2, 7)
+    mean, std = stability.bootstrap_stability(space, FEATURES, fit, labels, 10, 7)
     return spark.createDataFrame([(mean, std)], "bootstrap_mean_ari double, bootstrap_std_ari double")
 
 
 @query("benchmark_candidates")
 def benchmark_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All candidates of both spaces with the operators' defaults; Ward merges micro-clusters."""
+    """All candidates of both spaces with the operators' defaults."""
     space = _space(spark, sf_dir)
     spaces = {"selected_features": space, "pca_scores": reduction.pca(space, FEATURES, 0.85).scores}
-    grid = stability.candidate_grid(spaces, options={"ward": {"method": "micro"}})
-    return stability.benchmark(spaces, grid, silhouette_mode="exact")[0]
+    return stability.benchmark(spaces, stability.candidate_grid(spaces), silhouette_mode="exact")[0]
 
 
 @query(
@@ -138,7 +129,7 @@ def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeans_against_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agreement of a clustering of all dimensions with the given labels."""
     space = st.labelled_space(spark, sf_dir)
-    labels = partition.kmeans(10, n_init=1)(space.drop("cluster_label"), st.feature_names(), 7)[0]
+    labels = partition.kmeans(10)(space.drop("cluster_label"), st.feature_names(), 7)[0]
     score = adjusted_rand(space.select("image_id", "cluster_label"), labels)
     return spark.createDataFrame([(score,)], "adjusted_rand_index double")
 
