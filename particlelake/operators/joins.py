@@ -11,12 +11,14 @@ from pyspark.sql import types as T
 from particlelake import fixed_values as fv
 from particlelake.functions import geo, scalar
 from particlelake.operators.order_stats import key_join
-from particlelake.runtime import any_row, has_more_rows_than, quoted
+from particlelake.runtime import any_row, cut_lineage, has_more_rows_than, quoted
 
 # Stations up to this count travel to the tasks as one array.
 STATION_ARRAY_ROWS = 128
-# Cell size of the candidate grid used beyond that.
-CELL_DEGREES = 0.5
+# Beyond that, cells of the candidate tree halve from this size on until they keep few stations.
+ROOT_DEGREES = 32.0
+LEAF_STATIONS = 64
+MAX_LEVELS = 26
 
 _STATION_FIELDS = ("id", "name", "pm10", "pm25", "fetched_at")
 
@@ -57,19 +59,20 @@ def nearest_station(
     longitude: str = "longitude",
     order: str = "ord",
     array_rows: int = STATION_ARRAY_ROWS,
-    cell_degrees: float = CELL_DEGREES,
+    leaf_stations: int = LEAF_STATIONS,
 ) -> DataFrame:
     """Every sensor with its nearest station; ties go to the first station.
 
     Few stations travel as one constant array, so the sensors are not shuffled.
-    Beyond ``array_rows`` the search runs once per distinct position: each occupied grid cell
-    keeps the stations that can be nearest to any point in it and positions join
-    on the cell; the triangle inequality makes that list complete.
+    Beyond ``array_rows`` the search runs once per distinct position: each occupied cell of a
+    quadtree keeps the stations that can be nearest to any point in it and positions join
+    on the cell; the triangle inequality makes that list complete. A cell splits
+    while it keeps more than ``leaf_stations``, so a dense city is many small cells.
     """
     usable = _usable(stations, order)
     if not has_more_rows_than(usable, array_rows):
         return _nearest_from_array(sensors, usable, latitude, longitude)
-    return _nearest_from_cells(sensors, usable, latitude, longitude, cell_degrees)
+    return _nearest_from_cells(sensors, usable, latitude, longitude, leaf_stations)
 
 
 def _array_literal(rows: DataFrame) -> Column:
@@ -96,84 +99,84 @@ def _nearest_from_array(sensors: DataFrame, usable: DataFrame, latitude: str, lo
     return sensors.withColumn("__best", best).select(*sensors.columns, *_nearest_outputs(F.col("__best")))
 
 
-def _cell(col: Column, degrees: float) -> Column:
-    return F.floor(col / degrees).cast("int")
+def _cell(col: Column, level: int) -> Column:
+    return F.floor(col / F.lit(ROOT_DEGREES / 2**level)).cast("long")
 
 
-def _cell_candidates(cells: DataFrame, usable: DataFrame, degrees: float) -> DataFrame:
-    """Stations that may be nearest to some point of each occupied cell.
+def _on_globe(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """The same point with a latitude in [-90, 90] and a longitude in [-180, 180], as cells need it."""
+    inside = (F.abs(lat) <= 90) & (F.abs(lon) <= 180)
+    y, x = F.radians(lat), F.radians(lon)
+    turned = F.degrees(F.atan2(F.cos(y) * F.sin(x), F.cos(y) * F.cos(x)))
+    return F.when(inside, lat).otherwise(F.degrees(F.asin(F.sin(y)))).alias("__y"), F.when(inside, lon).otherwise(turned).alias("__x")
 
-    Coarse-to-fine: a station block (3 x 3 coarse cells) is compared first, so a
-    cell meets only the stations of blocks that can still hold its nearest one.
-    """
-    middle_lat = (F.col("cy") + 0.5) * degrees
-    middle_lon = (F.col("cx") + 0.5) * degrees
-    half = degrees / 2.0
+
+def _reach_km(level: int) -> Column:
+    """Least radius around a cell's middle that holds all its points."""
+    degrees = ROOT_DEGREES / 2**level
+    middle, half = (F.col("cy") + 0.5) * degrees, degrees / 2.0
     # any point is reached along the meridian and then along its own parallel
-    widest = F.cos(F.radians(F.greatest(F.lit(0.0), F.abs(middle_lat) - half)))
-    reach = F.lit(fv.EARTH_RADIUS_STATION_KM) * F.radians(F.lit(half)) * (1.0 + widest) * 1.000001
-    centred = cells.select("cy", "cx", middle_lat.alias("clat"), middle_lon.alias("clon"), reach.alias("reach"))
-
-    block = degrees * 8.0
-    blocks = usable.groupBy(_cell(F.col("lat"), block).alias("by"), _cell(F.col("long"), block).alias("bx")).agg(
-        F.min("lat").alias("lat0"), F.max("lat").alias("lat1"), F.min("long").alias("lon0"), F.max("long").alias("lon1"),
-        F.first("lat").alias("any_lat"), F.first("long").alias("any_lon"),
-    )
-    # at most (180 / block) x (360 / block) rows, whatever the number of stations
-    block_list = _array_literal(blocks)
-    # distance to one real station of each block bounds the nearest from above;
-    # distance to the block's centre minus its radius bounds it from below
-    measured = F.transform(
-        block_list,
-        lambda b: F.struct(
-            b["by"].alias("by"),
-            b["bx"].alias("bx"),
-            geo.station_distance_km(F.col("clat"), F.col("clon"), b["any_lat"], b["any_lon"]).alias("upper"),
-            (
-                geo.station_distance_km(
-                    F.col("clat"), F.col("clon"), (b["lat0"] + b["lat1"]) / 2.0, (b["lon0"] + b["lon1"]) / 2.0
-                )
-                - F.lit(fv.EARTH_RADIUS_STATION_KM)
-                * (F.radians((b["lat1"] - b["lat0"]) / 2.0) + F.radians((b["lon1"] - b["lon0"]) / 2.0))
-            ).alias("lower"),
-        ),
-    )
-    bounded = centred.withColumn("__m", measured).withColumn(
-        "__u", F.array_min(F.transform("__m", lambda m: m["upper"]))
-    )
-    chosen = bounded.select(
-        "cy", "cx", "clat", "clon", "reach",
-        F.explode(F.filter("__m", lambda m: m["lower"] <= F.col("__u") + 2.0 * F.col("reach"))).alias("b"),
-    ).select("cy", "cx", "clat", "clon", "reach", F.col("b.by").alias("by"), F.col("b.bx").alias("bx"))
-    spread = usable.withColumns({"by": _cell(F.col("lat"), block), "bx": _cell(F.col("long"), block)})
-    met = chosen.join(spread, ["by", "bx"]).withColumn(
-        "centre_km", geo.station_distance_km(F.col("clat"), F.col("clon"), F.col("lat"), F.col("long"))
-    )
-    closest = met.groupBy("cy", "cx").agg(F.min("centre_km").alias("closest_km"))
-    return (
-        met.join(closest, ["cy", "cx"])
-        .where(F.col("centre_km") <= F.col("closest_km") + 2.0 * F.col("reach"))
-        .select("cy", "cx", "lat", "long", "ord", *_STATION_FIELDS)
-    )
+    widest = F.cos(F.radians(F.greatest(F.lit(0.0), F.abs(middle) - half)))
+    return F.lit(fv.EARTH_RADIUS_STATION_KM) * F.radians(F.lit(half)) * (1.0 + widest) * 1.000001
+
+
+def _possible(met: DataFrame, level: int) -> DataFrame:
+    """Those of ``met(cy, cx, lat, long, ...)``, cells with stations, that may be nearest to some point of the cell."""
+    degrees = ROOT_DEGREES / 2**level
+    centre = geo.station_distance_km((F.col("cy") + 0.5) * degrees, (F.col("cx") + 0.5) * degrees, F.col("lat"), F.col("long"))
+    measured = met.withColumn("centre_km", centre)
+    closest = measured.groupBy("cy", "cx").agg(F.min("centre_km").alias("closest_km"))
+    near = F.col("centre_km") <= F.col("closest_km") + 2.0 * _reach_km(level)
+    return measured.join(closest, ["cy", "cx"]).where(near).drop("centre_km", "closest_km")
+
+
+def station_cells(positions: DataFrame, usable: DataFrame, leaf_stations: int = LEAF_STATIONS) -> DataFrame:
+    """(level, cy, cx, stations) of the leaves over ``positions(__y, __x)``.
+
+    Children of a cell take their stations from its list, so a level costs at most four
+    times the rows that the one before has kept. Only at ``MAX_LEVELS``, where a cell
+    measures less than a metre, may a leaf keep more than ``leaf_stations``.
+    """
+    occupied = lambda level: positions.select(
+        _cell(F.col("__y"), level).alias("cy"), _cell(F.col("__x"), level).alias("cx"),
+        *([] if level == 0 else [_cell(F.col("__y"), level - 1).alias("py"), _cell(F.col("__x"), level - 1).alias("px")]),
+    ).distinct()
+    # at most 7 x 13 root cells of 32 degrees
+    roots = _array_literal(occupied(0))
+    kept = cut_lineage(_possible(usable.select(F.explode(roots).alias("c"), "*").select("c.*", "lat", "long", "ord", *_STATION_FIELDS), 0))
+    station = F.struct("lat", "long", "ord", *_STATION_FIELDS)
+    leaves = None
+    for level in range(MAX_LEVELS + 1):
+        sizes = kept.groupBy("cy", "cx").agg(F.count(F.lit(1)).alias("n"))
+        full = sizes.where(F.col("n") > (leaf_stations if level < MAX_LEVELS else 2**62)).select("cy", "cx")
+        ready = kept.join(full, ["cy", "cx"], "left_anti").groupBy("cy", "cx").agg(F.collect_list(station).alias("stations"))
+        ready = cut_lineage(ready.select(F.lit(level).alias("level"), "cy", "cx", "stations"))
+        leaves = ready if leaves is None else leaves.unionByName(ready)
+        split = kept.join(full, ["cy", "cx"], "left_semi")
+        if not any_row(split):
+            return leaves
+        parents = split.withColumnsRenamed({"cy": "py", "cx": "px"})
+        kept = cut_lineage(_possible(parents.join(occupied(level + 1), ["py", "px"]).drop("py", "px"), level + 1))
+    return leaves
 
 
 def _nearest_from_cells(
-    sensors: DataFrame, usable: DataFrame, latitude: str, longitude: str, degrees: float
+    sensors: DataFrame, usable: DataFrame, latitude: str, longitude: str, leaf_stations: int
 ) -> DataFrame:
     lat, lon = scalar.finite(quoted(latitude)), scalar.finite(quoted(longitude))
-    positions = (
-        sensors.select(lat.alias("__lat"), lon.alias("__lon"))
-        .where(F.col("__lat").isNotNull() & F.col("__lon").isNotNull())
-        .distinct()
-        .withColumns({"cy": _cell(F.col("__lat"), degrees), "cx": _cell(F.col("__lon"), degrees)})
+    placed = sensors.select(lat.alias("__lat"), lon.alias("__lon")).where(F.col("__lat").isNotNull() & F.col("__lon").isNotNull()).distinct()
+    positions = cut_lineage(placed.select("*", *_on_globe(F.col("__lat"), F.col("__lon"))))
+    leaves = station_cells(positions, cut_lineage(usable), leaf_stations)
+    levels = sorted(r["level"] for r in leaves.select("level").distinct().collect())
+    places = F.array(*[F.struct(F.lit(i).alias("level"), _cell(F.col("__y"), i).alias("cy"), _cell(F.col("__x"), i).alias("cx")) for i in levels])
+    # a position lies in one leaf; the search inside it is one expression over its short list
+    distance = lambda s: geo.station_distance_km(F.col("__lat"), F.col("__lon"), s["lat"], s["long"])
+    nearest = F.array_min(
+        F.transform("stations", lambda s: F.struct(distance(s).alias("distance_km"), s["ord"].alias("ord"), *[s[f].alias(f) for f in _STATION_FIELDS]))
     )
-    candidates = _cell_candidates(positions.select("cy", "cx").distinct(), usable, degrees)
-    distance = geo.station_distance_km(F.col("__lat"), F.col("__lon"), F.col("lat"), F.col("long"))
     best = (
-        positions.join(candidates, ["cy", "cx"])
-        .select("__lat", "__lon", F.struct(distance.alias("distance_km"), "ord", *_STATION_FIELDS).alias("s"))
-        .groupBy("__lat", "__lon")
-        .agg(F.min("s").alias("__best"))
+        positions.select("__lat", "__lon", F.explode(places).alias("c")).select("__lat", "__lon", "c.*")
+        .join(leaves, ["level", "cy", "cx"]).select("__lat", "__lon", nearest.alias("__best"))
     )
     keyed = sensors.withColumns({"__lat0": lat, "__lon0": lon})
     return keyed.join(

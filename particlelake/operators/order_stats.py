@@ -13,9 +13,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from particlelake.runtime import HOT_GROUP_ROWS, any_row, cut_lineage, has_more_rows_than, melt, quoted
+from particlelake.runtime import HOT_GROUP_ROWS, any_row, cut_lineage, has_more_rows_than, melt, one_row, quoted
 
 _RANGE = "__range"
+# A value held by more than this part of all rows is frequent; there are fewer such values than that.
+FREQUENT_PARTS = 4_096
 
 
 def key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -193,10 +195,30 @@ def aggregate_with_percentiles(
     return plain(rest).unionByName(spread)
 
 
+def split_frequent(df: DataFrame, ranked: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose key is frequent, with the columns of ``ranked(*keys, n, ...)``, and the others.
+
+    At most ``FREQUENT_PARTS`` keys can have more than that part of all rows, so their
+    part of ``ranked`` is broadcast, and rows that share a frequent value are never moved.
+    """
+    total = one_row(ranked.agg(F.sum("n").alias("rows")))["rows"]
+    frequent = F.broadcast(ranked.where(F.col("n") * FREQUENT_PARTS > total).withColumn("__met", F.lit(True)))
+    looked_up = key_join(df, frequent, keys, "left")
+    return looked_up.where("__met").drop("__met"), looked_up.where("__met is null").select(*[quoted(c) for c in df.columns])
+
+
+def with_ranks(df: DataFrame, ranked: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``df`` with the other columns of ``ranked(*keys, n, ...)``; only rare values are joined by a shuffle."""
+    frequent, rest = split_frequent(df, ranked, keys)
+    return frequent.unionByName(key_join(rest, ranked, keys, how)).drop("n")
+
+
 def average_rank(
     df: DataFrame, value: str, partition: Sequence[str] = (), output: str = "avg_rank", hot_rows: int = HOT_GROUP_ROWS
 ) -> DataFrame:
     """Each row with its rank among equal partition keys; ties share the mean rank."""
-    ranked = ranked_value_counts(df.where(quoted(value).isNotNull()), partition, value, hot_rows)
-    lookup = ranked.select(*partition, value, F.col("avg_rank").alias(output))
-    return key_join(df, lookup, [*partition, value], "left")
+    ranked = cut_lineage(ranked_value_counts(df.where(quoted(value).isNotNull()), partition, value, hot_rows))
+    lookup = ranked.select(*partition, value, F.col("n").alias("n"), F.col("avg_rank").alias(output))
+    if "n" in df.columns:
+        return key_join(df, lookup.drop("n"), [*partition, value], "left")
+    return with_ranks(df, lookup, [*partition, value], "left")

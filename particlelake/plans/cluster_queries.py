@@ -73,9 +73,24 @@ def fuzzy_cmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition.fuzzy_cmeans(3)(_space(spark, sf_dir), FEATURES, 7)[0]
 
 
-@query("density_clusters")
+@query(
+    "density_clusters",
+    """WITH RECURSIVE p AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings),
+size AS (SELECT greatest(10, ceil(0.02 * count(*)))::BIGINT AS m FROM embeddings),
+d AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.e, b.e) AS d FROM p a JOIN p b ON a.vec_id <> b.vec_id),
+core AS (SELECT a AS vec_id, d AS core FROM d, size QUALIFY row_number() OVER (PARTITION BY a ORDER BY d) = m),
+radius AS (SELECT quantile_cont(core, 0.5) AS eps FROM core),
+dense AS (SELECT vec_id, core FROM core, radius WHERE core <= eps),
+link AS (SELECT a, b FROM d, radius WHERE d <= eps AND a IN (SELECT vec_id FROM dense) AND b IN (SELECT vec_id FROM dense)),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM dense UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+root AS (SELECT a AS vec_id, min(b) AS root FROM reach GROUP BY a),
+sized AS (SELECT root, row_number() OVER (ORDER BY root) AS number FROM (SELECT root, count(*) AS n FROM root GROUP BY root), size WHERE n >= m),
+scored AS (SELECT vec_id, number, CASE WHEN core > 0 THEN min(core) OVER (PARTITION BY number) / core ELSE 1 END AS strength FROM root JOIN sized USING (root) JOIN dense USING (vec_id))
+SELECT vec_id AS image_id, coalesce(number, -1)::INTEGER AS cluster_label, round(coalesce(strength, 0), 6)::DOUBLE AS membership_strength
+FROM embeddings LEFT JOIN scored USING (vec_id)""",
+)
 def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return density.density_clusters()(_space(spark, sf_dir), FEATURES, 7)[0]
+    return rounded(density.density_clusters()(_space(spark, sf_dir), FEATURES, 7)[0])
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from particlelake.operators import aggregates, context, joins, order_stats, ranking, validity
@@ -84,12 +85,12 @@ def test_cleaning_on_large_tables(spark):
         assert plan.centre == pytest.approx(large.columns[name].centre) and plan.scale == pytest.approx(large.columns[name].scale)
 
 
-@pytest.mark.parametrize("cell", [0.1, 0.5, 3.0])
-def test_station_cells_agree_with_the_array(spark, cell):
+@pytest.mark.parametrize("leaf", [1, 5, 64])
+def test_station_cells_agree_with_the_array(spark, leaf):
     sensors = st.sensors(spark, SMALL).select("sensor_id", "latitude", "longitude")
     stations = st.stations(spark, SMALL)
     small = joins.nearest_station(sensors, stations)
-    large = joins.nearest_station(sensors, stations, array_rows=0, cell_degrees=cell)
+    large = joins.nearest_station(sensors, stations, array_rows=0, leaf_stations=leaf)
     assert _rows(small, "sensor_id") == _rows(large, "sensor_id")
 
 
@@ -107,6 +108,61 @@ def test_station_cells_across_the_globe(spark):
     assert _rows(small, "sensor_id") == _rows(large, "sensor_id")
 
 
+def _grid_stations(spark, n, lat, long):
+    key = F.col("id")
+    return spark.range(n).select(
+        key, F.concat(F.lit("s"), key).alias("name"), lat.alias("lat"), long.alias("long"),
+        F.lit(1.0).alias("pm10"), F.lit(2.0).alias("pm25"), F.lit("").alias("fetched_at"), key.alias("ord"),
+    )
+
+
+def test_dense_city_is_many_small_cells(spark):
+    """Nine of ten positions and stations lie within one degree; no position meets many stations."""
+    key = F.col("id")
+    spot = lambda seed: F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) / 1e6
+    city = key % 10 != 0
+    place = lambda a, b: (F.when(city, 40.0 + spot(a)).otherwise(spot(a) * 170 - 85), F.when(city, -3.0 + spot(b)).otherwise(spot(b) * 350 - 175))
+    lat, lon = place(1, 2)
+    sensors = spark.range(3_000).select(key.alias("sensor_id"), lat.alias("latitude"), lon.alias("longitude"))
+    stations = _grid_stations(spark, 2_000, *place(3, 4))
+    small = joins.nearest_station(sensors, stations, array_rows=10_000)
+    large = joins.nearest_station(sensors, stations, array_rows=0)
+    assert _rows(small, "sensor_id") == _rows(large, "sensor_id")
+    positions = sensors.select(F.col("latitude").alias("__y"), F.col("longitude").alias("__x"))
+    leaves = joins.station_cells(positions, joins._usable(stations, "ord"))
+    sizes = leaves.select(F.size("stations").alias("n"), "level").agg(F.max("n"), F.max("level"), F.sum("n")).first()
+    assert sizes[0] <= joins.LEAF_STATIONS and sizes[1] >= 6 and sizes[2] < 3_000 * 16
+
+
+def test_odd_coordinates_and_one_spot(spark):
+    """Positions beyond the globe's ranges, poles, and many positions on one spot."""
+    odd = [(0, 100.0, 10.0), (1, -95.0, 200.0), (2, 90.0, 0.0), (3, -90.0, 180.0), (4, 45.0, -540.5), (5, None, 1.0), (6, float("nan"), 1.0)]
+    sensors = spark.createDataFrame(odd + [(10 + i, 12.5, 12.5) for i in range(300)], "sensor_id long, latitude double, longitude double")
+    key = F.col("id")
+    stations = _grid_stations(spark, 500, (key * 0.36 - 90.0), (key * 7 % 360 - 180.0))
+    small = joins.nearest_station(sensors, stations, array_rows=10_000)
+    large = joins.nearest_station(sensors, stations, array_rows=0, leaf_stations=4)
+    assert _rows(small.drop("latitude"), "sensor_id") == _rows(large.drop("latitude"), "sensor_id")
+
+
+def test_frequent_values_are_not_moved(spark):
+    """Of a column with nine in ten zeros only the rare values meet a shuffle."""
+    key = F.col("id")
+    value = F.when(key % 10 != 0, F.lit(0.0)).otherwise(key.cast("double"))
+    df = spark.range(60_000).select(key, value.alias("v"), (key % 2).alias("g"))
+    ranked = order_stats.ranked_value_counts(df, ["g"], "v").select("g", "v", "n", "avg_rank")
+    frequent, rest = order_stats.split_frequent(df, ranked, ["g", "v"])
+    assert rest.count() == 6_000 and frequent.count() == 54_000
+    assert rest.columns == df.columns
+    whole = order_stats.average_rank(df, "v", ["g"])
+    window = Window.partitionBy("g").orderBy("v")
+    below = F.rank().over(window) + (F.count(F.lit(1)).over(Window.partitionBy("g", "v")) - 1) / 2.0
+    wanted = df.withColumn("avg_rank", below)
+    assert _rows(whole, "id") == _rows(wanted, "id")
+    clash = df.withColumnRenamed("v", "n")
+    assert order_stats.average_rank(clash, "n", ["g"]).agg(F.sum("avg_rank")).first() == whole.agg(F.sum("avg_rank")).first()
+
+
 @pytest.mark.parametrize("block_rows", [64, 200])
 def test_blocks_do_not_change_the_silhouette(spark, block_rows):
     space, features = st.labelled_space(spark, SMALL), st.feature_names(6)
