@@ -1,7 +1,8 @@
 """Quality rules: repetition and Jensen-Shannon distance to language references.
 
 Two histograms of a document are compared to its language's reference, which is the
-same histogram over all documents of the language: classes of characters in words, and
+same histogram over all documents of the language that pass the base rules, drawn a little
+towards that of the whole table: classes of characters in words, and
 the language's common words against all other words. The distance is the square root
 of the divergence in bits, from 0 to 1. A document too short for a histogram passes it.
 
@@ -30,8 +31,8 @@ OTHER = "*"
 COUNTED_CLASSES = ("[A-Z]", "[0-9]", "[.,;:!?'\"()\\-]")
 SYMBOLS = "[#*$%&|<>]"
 REPEAT = 8
-#: A reference from fewer words is none.
-MIN_REFERENCE_WORDS = 5_000
+#: Words of the whole table's histogram that every language's reference starts from.
+PRIOR_WORDS = 1_000
 MIN_CHARS, MAX_CHAR_DISTANCE = 200, 0.33
 MIN_WORDS, MAX_WORD_DISTANCE = 50, 0.42
 #: A text at this part of the distance of one without common words lacks them too,
@@ -159,21 +160,29 @@ def document_counts(text: Column, key: Column) -> Column:
 
 
 def language_references(counted: DataFrame) -> DataFrame:
-    """(key, word_shares, class_shares) from the counts of all documents: a row per word list and one more.
+    """(key, word_shares, class_shares) from the counts of all given documents: a row per word list and one more.
 
-    A reference of fewer than ``MIN_REFERENCE_WORDS`` words is null.
+    Every reference has ``PRIOR_WORDS`` words (or as many characters) of the histogram of the
+    whole table on top, place by place, the last places (other words) together. So a
+    language of few documents has a reference as well, and there is no size from which it counts.
     """
 
     def summed(name: str) -> DataFrame:
-        sums = counted.select("__key", F.posexplode(f"__counts.{name}").alias("place", "n")).groupBy("__key", "place").agg(F.sum("n").alias("n"))
-        parts = sums.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("parts"), F.sum("n").alias("total"))
-        return parts.select(F.col("__key").alias("key"), "total", F.transform("parts", lambda p: p["n"] / F.nullif("total", F.lit(0))).alias("shares"))
+        found = F.col(f"__counts.{name}")
+        long = counted.select("__key", F.size(found).alias("size"), F.posexplode(found).alias("place", "n"))
+        sums = long.groupBy("__key", "place", (F.col("place") == F.col("size") - 1).alias("last")).agg(F.sum("n").alias("n"))
+        like = F.when(F.col("last"), -1).otherwise(F.col("place")).alias("like")
+        pooled = sums.groupBy(like).agg(F.sum("n").alias("all"))
+        both = sums.select("__key", "place", "n", like).join(pooled, "like")
+        parts = both.groupBy("__key").agg(
+            F.array_sort(F.collect_list(F.struct("place", "n", "all"))).alias("parts"), F.sum("n").alias("total"), F.sum("all").alias("prior")
+        )
+        weight = F.lit(float(PRIOR_WORDS))
+        share = lambda p: (p["n"] + weight * p["all"] / F.col("prior")) / (F.col("total") + weight)
+        return parts.select(F.col("__key").alias("key"), F.when(F.col("prior") > 0, F.transform("parts", share)).alias("shares"))
 
     words, classes = summed("word_counts"), summed("class_counts")
-    enough = F.col("w.total") >= MIN_REFERENCE_WORDS
-    return words.alias("w").join(classes.alias("c"), "key").select(
-        "key", F.when(enough, F.col("w.shares")).alias("word_shares"), F.when(enough, F.col("c.shares")).alias("class_shares")
-    )
+    return words.alias("w").join(classes.alias("c"), "key").select("key", F.col("w.shares").alias("word_shares"), F.col("c.shares").alias("class_shares"))
 
 
 def quality_verdicts(
@@ -190,7 +199,8 @@ def quality_verdicts(
     (longs), ``base_failed``, ``char_distance``, ``word_distance`` (null under the length
     guards) and ``kept``. A document fails the base rules with fewer than ``min_words``
     words or more than ``max_repeated`` of them repeated, and the method's rule if a
-    distance exceeds its limit or the text lacks common words (``lacking_limit``). No Python runs and nothing is shuffled but sums. Null
+    distance exceeds its limit or the text lacks common words (``lacking_limit``). References
+    come from the documents that pass the base rules. No Python runs and nothing is shuffled but sums. Null
     texts have no words and fail; languages without a word list, and null ones, share
     a reference; repeated rows get equal results; columns of ``docs`` named like a result are
     replaced; an empty table gives an empty one.
@@ -201,13 +211,13 @@ def quality_verdicts(
     key = language_key(F.col(f"`{lang_col}`"))
     carried = [F.col(f"`{c}`") for c in kept.columns]
     counted = stored(docs.select(*carried, key.alias("__key"), document_counts(text, key).alias("__counts")), "counts")
-    references = stored(language_references(counted), "references").select(
+    found, ref = F.col("__counts"), F.col("__ref")
+    failed = (found["n_words"] < min_words) | (100 * found["n_repeat_words"] > round(100 * max_repeated) * found["n_words"])
+    references = stored(language_references(counted.where(~failed)), "references").select(
         F.col("key").alias("__key"), F.struct("word_shares", "class_shares").alias("__ref")
     )
-    found, ref = F.col("__counts"), F.col("__ref")
     chars = F.when(found["word_chars"] >= MIN_CHARS, jensen_shannon(found["class_counts"], ref["class_shares"]))
     words = F.when(found["n_words"] >= MIN_WORDS, jensen_shannon(found["word_counts"], ref["word_shares"]))
-    failed = (found["n_words"] < min_words) | (100 * found["n_repeat_words"] > round(100 * max_repeated) * found["n_words"])
     lacking = lacking_limit(F.col("__key"), ref["word_shares"], found["n_words"]).alias("__lacking")
     measured = counted.join(F.broadcast(references), "__key", "left").select(
         *carried, *[found[n].alias(n) for n in COUNTS], failed.alias("base_failed"), chars.alias("char_distance"), words.alias("word_distance"), lacking
