@@ -49,27 +49,37 @@ class Scratch:
     CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.folders = spark, []
+        self.spark, self.folders = spark, {}
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_) -> None:
-        for folder in self.folders:
-            fs, path = filesystem(folder)
-            if fs.get_file_info(path).type == pafs.FileType.Directory:
-                fs.delete_dir(path)
+        for folder in list(self.folders):
+            self._delete(folder)
+
+    def _delete(self, folder: str) -> None:
+        self.folders.pop(folder)
+        fs, path = filesystem(folder)
+        if fs.get_file_info(path).type == pafs.FileType.Directory:
+            fs.delete_dir(path)
+
+    def discard(self, table: DataFrame) -> None:
+        """Deletes a table of this scratch that nothing reads any more."""
+        for folder in [f for f, held in self.folders.items() if held is table]:
+            self._delete(folder)
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         path = new_folder(self.spark, name)
-        self.folders.append(path)
+        self.folders[path] = None
         before = self.spark.conf.get(self.CLEAN_UP, "false")
         self.spark.conf.set(self.CLEAN_UP, "true")
         try:
             df.write.parquet(path)
         finally:
             self.spark.conf.set(self.CLEAN_UP, before)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.folders[path] = self.spark.read.schema(df.schema).parquet(path)
+        return self.folders[path]
 
 
 def row_signature(text: Column) -> Column:

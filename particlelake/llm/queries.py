@@ -70,10 +70,11 @@ def op8_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")
-    )
-    verdicts = url_templates.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES, labels)
+    pages = table(spark, sf_dir, "pages")
+    texts = pages.select("page_id", url_templates.page_text(F.col("html")).alias("text"), F.lit(None).cast("string").alias("lang"))
+    kept = quality_divergence.quality_verdicts(texts, carry=["page_id"]).select("page_id", "kept")
+    labels = url_templates.page_labels(pages, URL_RULES, kept)
+    verdicts = url_templates.url_verdicts(pages, URL_RULES, labels)
     return verdicts.select("page_id", "host", "path", "rule", "verdict")
 
 

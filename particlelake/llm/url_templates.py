@@ -10,13 +10,13 @@ tree is built on those counts, so a large host is many partial sums, never one t
 
 from __future__ import annotations
 
-import itertools
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from particlelake.llm.common import plain_names, stored
+from particlelake.llm.common import Scratch, plain_names, stored
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_URLS = 5
@@ -60,39 +60,67 @@ def _differs(bad: str, n: str, bad_all: str, n_all: str) -> Column:
 def path_templates(paths: DataFrame, min_urls: int = MIN_URLS) -> DataFrame:
     """(host, shape, template) of distinct ``paths(host, shape, urls, labelled, bad)``.
 
-    Every level of the tree is written before the next one reads it. It grows until no
-    branch is left to decide: below a node of one path everything is alone, and below
-    one of fewer than ``min_urls`` urls everything is rare.
+    A round decides the next branching of every node and is written before the next one
+    reads it; what all paths of a node share is passed in one step, however deep, and paths
+    that have ended leave the state. The tree grows until no branch is left to decide: below a
+    node of one path everything is alone, and below one of fewer than ``min_urls`` urls
+    everything is rare.
     """
     segments = F.filter(F.split("shape", "/"), lambda s: s != "")
-    tree = paths.withColumn("segments", segments).withColumn("template", F.lit(""))
-    for level in itertools.count():
-        tree = tree.withColumn("segment", F.get("segments", F.lit(level)))
-        branches = stored(
-            tree.where("segment is not null").groupBy("host", "template", "segment")
-            .agg(F.sum("urls").alias("b_urls"), F.count(F.lit(1)).alias("b_paths"), F.sum("labelled").alias("b_n"), F.sum("bad").alias("b_bad")),
-            "branches",
-        )
-        if branches.isEmpty():
-            break
-        siblings = branches.groupBy("host", "template").agg(
-            F.sum("b_n").alias("s_n"), F.sum("b_bad").alias("s_bad"), F.count(F.lit(1)).alias("s_branches"),
-            F.sum("b_urls").alias("s_urls"), F.sum("b_paths").alias("s_paths"),
-        )
-        alone = F.col("s_branches") == 1
-        literal = (F.col("b_urls") >= min_urls) & (alone | _differs("b_bad", "b_n", "s_bad", "s_n"))
-        decided = branches.join(siblings, ["host", "template"]).select(
-            "host", "template", "segment", F.when(literal, F.col("segment")).otherwise(WILD).alias("kept"),
-            ((F.col("s_paths") == 1) | (F.col("s_urls") < min_urls)).alias("last"),
-        )
-        left = F.slice("segments", level + 1, 1 << 30)
-        below = F.when(F.col("kept") == WILD, F.transform(left, lambda s: F.lit(WILD))).otherwise(left)
-        added = F.when(F.col("last"), F.array_join(below, "/")).otherwise(F.col("kept"))
-        grown = F.when(F.col("kept").isNotNull(), F.concat("template", F.lit("/"), added)).otherwise(F.col("template"))
-        joined = tree.join(decided, ["host", "template", "segment"], "left")
-        rest = F.when(F.col("last"), F.slice("segments", 1, level + 1)).otherwise(F.col("segments"))
-        tree = stored(joined.withColumns({"template": grown, "segments": rest}).drop("kept", "last", "segment"), "tree")
-    return tree.select("host", "shape", "template")
+    finished = []
+    with Scratch(paths.sparkSession) as scratch:
+        tree = scratch.stored(paths.withColumn("rest", segments).withColumn("template", F.lit("")), "tree")
+        while True:
+            finished.append(scratch.stored(tree.where(F.size("rest") == 0).select("host", "shape", "template"), "ended-paths"))
+            going = tree.where(F.size("rest") > 0)
+            if going.isEmpty():
+                return stored(functools.reduce(DataFrame.unionByName, finished), "templates")
+            nodes = going.groupBy("host", "template").agg(
+                F.sum("labelled").alias("s_n"), F.sum("bad").alias("s_bad"), F.sum("urls").alias("s_urls"), F.count(F.lit(1)).alias("s_paths"),
+                F.min("rest").alias("lo"), F.max("rest").alias("hi"),
+            )
+            common = F.array_position(F.zip_with("lo", "hi", lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+            depth = F.when(common == 0, F.size("lo")).otherwise(common - 1).cast("int")
+            rare = F.col("s_urls") < min_urls
+            alone = F.col("s_paths") == 1
+            nodes = nodes.select(
+                "host", "template", "s_n", "s_bad",
+                F.when(rare, F.lit("wild")).when(alone, F.lit("whole")).when(depth > 0, F.lit("chain")).otherwise(F.lit("fork")).alias("step"), depth.alias("depth"),
+            )
+            nodes = scratch.stored(nodes, "nodes")
+            placed = going.withColumn("segment", F.get("rest", F.lit(0)))
+            forks = placed.join(nodes.where("step = 'fork'").select("host", "template"), ["host", "template"], "left_semi")
+            branches = forks.groupBy("host", "template", "segment").agg(F.sum("urls").alias("b_urls"), F.sum("labelled").alias("b_n"), F.sum("bad").alias("b_bad"))
+            literal = (F.col("b_urls") >= min_urls) & _differs("b_bad", "b_n", "s_bad", "s_n")
+            branches = branches.join(nodes.select("host", "template", "s_n", "s_bad"), ["host", "template"]).select("host", "template", "segment", literal.alias("literal"))
+            met = placed.join(nodes.select("host", "template", "step", "depth"), ["host", "template"]).join(branches, ["host", "template", "segment"], "left")
+            step, rest = F.col("step"), F.col("rest")
+            taken = F.when(step == "chain", F.col("depth")).when(step == "fork", 1).otherwise(F.size("rest"))
+            own = F.slice(rest, F.lit(1), taken)
+            wild = (step == "wild") | ((step == "fork") & ~F.col("literal"))
+            added = F.when(wild, F.transform(own, lambda s: F.lit(WILD))).otherwise(own)
+            grown = F.concat("template", F.lit("/"), F.array_join(added, "/"))
+            left = F.slice(rest, taken + 1, F.size("rest"))
+            before, tree = tree, scratch.stored(met.select("host", "shape", "urls", "labelled", "bad", left.alias("rest"), grown.alias("template")), "tree")
+            scratch.discard(before)
+            scratch.discard(nodes)
+
+
+def page_text(html: Column) -> Column:
+    """The text of a page: no scripts, styles and tags, blocks on lines of their own."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+    lines = F.regexp_replace(bare, r"(?i)<(/?(p|div|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav)|br)\b[^>]*>", "\n")
+    return F.regexp_replace(lines, "<[^>]*>", " ")
+
+
+def page_labels(pages: DataFrame, rules: Sequence[tuple[str, str]], kept: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(page_id, bad): the verdict of the fitting rule, else what ``kept(page_id, kept)`` says about the page's text."""
+    rows = plain_names(pages, (id_col, "page_id"), (url_col, "url"))
+    host, path = url_parts(F.col("url"))
+    split = rows.select("page_id", host.alias("host"), path.alias("path"))
+    action = rule_columns(F.col("host"), F.col("path"), rules)[1]
+    ruled = split.select("page_id", action.alias("action")).where("page_id is not null").join(kept.select("page_id", "kept"), "page_id", "left")
+    return ruled.select("page_id", F.coalesce(F.col("action") == "block", ~F.col("kept")).alias("bad"))
 
 
 def url_verdicts(
@@ -125,7 +153,7 @@ def url_verdicts(
         .agg(F.count(F.lit(1)).alias("urls"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")),
         "paths",
     )
-    templates = stored(path_templates(paths, min_urls), "templates")
+    templates = path_templates(paths, min_urls)
     known = paths.join(templates, ["host", "shape"])
     all_of = known.agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("n"))
     prior = all_of.select(F.coalesce(F.col("bad") / F.nullif("n", F.lit(0)), F.lit(0.0))).scalar()
