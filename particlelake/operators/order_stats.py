@@ -1,9 +1,9 @@
 """Exact percentiles and average ranks that hold for very large groups.
 
 Small groups use Spark's own ``percentile`` aggregate. A group above the row
-limit would keep all its distinct values in one task's buffer, so it goes through
-a range-partitioned table of value counts instead: running counts inside each
-range plus a small table of range totals give every rank exactly.
+limit would keep all its distinct values in one task's buffer, so its percentiles come
+from brackets that counters narrow, and its ranks from a range-partitioned table of value
+counts: running counts inside each range plus a small table of range totals.
 """
 
 from __future__ import annotations
@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from particlelake.runtime import HOT_GROUP_ROWS, any_row, cut_lineage, has_more_rows_than, melt, one_row, quoted
 
 _RANGE = "__range"
+# A sketch with this accuracy places a value within 1 / 10,000 of the rows.
+SKETCH_ACCURACY, SKETCH_MARGIN = 10_000, 0.0002
+# Counters of one bracket in one pass.
+BRACKET_PARTS = 256
 # A value held by more than this part of all rows is frequent; there are fewer such values than that.
 FREQUENT_PARTS = 4_096
 
@@ -101,31 +105,73 @@ def _unpack(name: str, probs: Sequence[float], labels: Sequence[str]) -> list[Co
     return [quoted(f"__q_{name}")[i].alias(label) for i, label in enumerate(labels)]
 
 
-def _spread_percentiles(
+def _bracketed_percentiles(
     df: DataFrame, keys: Sequence[str], wanted: Mapping[str, Mapping[str, float]]
 ) -> DataFrame:
-    """Percentiles of hot groups from ranked value counts; one row per key."""
+    """Exact percentiles of few large groups without moving their rows; one row per key.
+
+    A mergeable sketch gives a bracket around each wanted value. Passes of counters over
+    its parts narrow it to the part that holds the value, until all values in it are equal.
+    Tasks send counters only, and a wrong bracket is put right by the next pass.
+    """
     names = list(wanted)
-    long = melt(
-        df, [quoted(k) for k in keys], {n: quoted(n).cast("double") for n in names}, "__name", "__value"
-    ).where(F.col("__value").isNotNull())
-    counts = long.groupBy(*keys, "__name", "__value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = rank_counts(counts, [*keys, "__name"], "__value", spread=True)
-    sizes = long.groupBy(*keys, "__name").agg(F.count(F.lit(1)).alias("group_rows"))
-    joined = key_join(ranked, sizes, [*keys, "__name"])
-    aggs, finals = [], []
-    for name, labels in wanted.items():
-        for label, prob in labels.items():
-            position = F.lit(float(prob)) * (F.col("group_rows") - 1)
-            reached = F.col("rows_below") + F.col("n")
-            mine = F.col("__name") == name
-            low = F.min(F.when(mine & (reached > F.floor(position)), F.col("__value")))
-            high = F.min(F.when(mine & (reached > F.ceil(position)), F.col("__value")))
-            part = F.max(F.when(mine, position - F.floor(position)))
-            aggs += [low.alias(f"__lo_{label}"), high.alias(f"__hi_{label}"), part.alias(f"__f_{label}")]
-            lo, hi, f = quoted(f"__lo_{label}"), quoted(f"__hi_{label}"), quoted(f"__f_{label}")
-            finals.append(F.when(f == 0, lo).otherwise((1 - f) * lo + f * hi).alias(label))
-    return joined.groupBy(*keys).agg(*aggs).select(*[quoted(k) for k in keys], *finals)
+    slim = cut_lineage(df.select(*[quoted(k) for k in keys], *[quoted(n).cast("double").alias(n) for n in names]))
+    brackets = [
+        F.percentile_approx(quoted(n), [min(1.0, max(0.0, p + side)) for p in labels.values() for side in (-SKETCH_MARGIN, SKETCH_MARGIN)], SKETCH_ACCURACY).alias(f"__b_{n}")
+        for n, labels in wanted.items()
+    ]
+    sketched = slim.groupBy(*[quoted(k) for k in keys]).agg(*brackets, *[F.count(quoted(n)).alias(f"__n_{n}") for n in names])
+    targets = [
+        F.struct(
+            F.lit(n).alias("__name"), F.lit(label).alias("__label"), quoted(f"__n_{n}").alias("__rows"), F.lit(float(p)).alias("__p"),
+            quoted(f"__b_{n}")[2 * i].alias("__lo"), quoted(f"__b_{n}")[2 * i + 1].alias("__hi"),
+        )
+        for n, labels in wanted.items() for i, (label, p) in enumerate(labels.items())
+    ]
+    long = melt(slim, [quoted(k) for k in keys], {n: quoted(n) for n in names}, "__name", "__value").where(F.col("__value").isNotNull())
+    state = sketched.select(*[quoted(k) for k in keys], F.inline(F.array(*targets))).where(F.col("__rows") > 0)
+    position = F.col("__p") * (F.col("__rows") - 1)
+    state = cut_lineage(state.withColumns({"__k": F.floor(position) + 1, "__f": position - F.floor(position)}))
+    target = [*keys, "__name", "__label"]
+    kept = [*[quoted(c) for c in target], "__rows", "__p", "__k", "__f"]
+    found = None
+    while any_row(state):
+        lo, hi, value = F.col("__lo"), F.col("__hi"), F.col("__value")
+        share = F.try_divide(value - lo, hi - lo)
+        inner = F.greatest(F.lit(0), F.least(F.lit(BRACKET_PARTS - 1), F.floor(share * BRACKET_PARTS).cast("int")))
+        part = (
+            F.when(value < lo, -1).when(value == lo, 0).when(value > hi, BRACKET_PARTS + 2).when(value == hi, BRACKET_PARTS + 1)
+            .otherwise(1 + F.coalesce(F.when(F.isnan(share), 0).otherwise(inner), F.lit(0)))
+        )
+        # as many rows as there are large groups and wanted values
+        placed = _by_group(long, F.broadcast(state), [*keys, "__name"])
+        parts = placed.groupBy(*kept, part.alias("__part")).agg(F.count(F.lit(1)).alias("__in"), F.min("__value").alias("__lo"), F.max("__value").alias("__hi"))
+        order = Window.partitionBy(*[quoted(c) for c in target]).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
+        held = parts.withColumn("__upto", F.sum("__in").over(order)).where((F.col("__upto") >= F.col("__k")) & (F.col("__upto") - F.col("__in") < F.col("__k")))
+        held = cut_lineage(held.select(*kept, "__lo", "__hi", "__upto"))
+        done = held.where("__lo = __hi")
+        found = done if found is None else found.unionByName(done)
+        state = held.where("not (__lo = __hi)").select(*kept, "__lo", "__hi")
+    if found is None:
+        return sketched.select(*[quoted(k) for k in keys], *[F.lit(None).cast("double").alias(label) for labels in wanted.values() for label in labels])
+    apart = found.where("__f > 0 and __upto = __k").select(*[quoted(c) for c in target], F.col("__hi").alias("__value_k"))
+    above = _by_group(long, F.broadcast(apart), [*keys, "__name"]).where(F.col("__value") > F.col("__value_k"))
+    following = above.groupBy(*[quoted(c) for c in target]).agg(F.min("__value").alias("__next"))
+    both = key_join(found, following, target, "left")
+    value = F.when(F.col("__next").isNull(), F.col("__lo")).otherwise((1 - F.col("__f")) * F.col("__lo") + F.col("__f") * F.col("__next"))
+    settled = both.select(*[quoted(k) for k in keys], "__label", value.alias("__value"))
+    each = [F.max(F.when(F.col("__label") == label, F.col("__value"))).alias(label) for labels in wanted.values() for label in labels]
+    empty = key_join(sketched.select(*[quoted(k) for k in keys]), settled, keys, "left") if keys else settled
+    return empty.groupBy(*[quoted(k) for k in keys]).agg(*each)
+
+
+def _by_group(rows: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with every wanted value of their group and column."""
+    renamed = state.select(*[quoted(c).alias(f"__s_{c}") if c in keys else quoted(c) for c in state.columns])
+    condition = F.lit(True)
+    for key in keys:
+        condition = condition & quoted(key).eqNullSafe(quoted(f"__s_{key}"))
+    return rows.join(renamed, condition).drop(*[f"__s_{k}" for k in keys])
 
 
 def aggregate_with_percentiles(
@@ -139,8 +185,8 @@ def aggregate_with_percentiles(
     """``groupBy(keys)`` with exact linear percentiles and other aggregates.
 
     ``wanted`` maps a column to {output name: probability}. One shuffle while no
-    group is above ``hot_rows``; hot groups take the range-partitioned route and
-    are united with the rest. ``approx=True`` uses ``percentile_approx``.
+    group is above ``hot_rows``; hot groups are narrowed by counters, which moves none of
+    their rows, and are united with the rest. ``approx=True`` uses ``percentile_approx``.
     """
     keys = list(keys)
     key_columns = [quoted(k) for k in keys]
@@ -173,7 +219,7 @@ def aggregate_with_percentiles(
         hot = df.groupBy(*key_columns).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > hot_rows)
 
     spread_source = df if hot is None else key_join(df, hot, keys, "left_semi")
-    spread = _spread_percentiles(spread_source, keys, wanted)
+    spread = _bracketed_percentiles(spread_source, keys, wanted)
     if aggs:
         algebra = spread_source.groupBy(*key_columns).agg(*aggs)
         extra = algebra.columns[len(keys):]

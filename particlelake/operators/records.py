@@ -257,8 +257,7 @@ def exact_sample(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
         wanted -= seen
         if n <= 10_000 or shift <= 4:
             break
-    last = keys.where(prefix).orderBy("__hash", "__key").limit(wanted).collect()
-    top = last[-1]
+    top = keys.where(prefix).orderBy("__hash", "__key").limit(wanted).agg(F.max(F.struct("__hash", "__key")).alias("last")).first()["last"]
     edge = prefix & (
         (F.col("__hash") < top["__hash"]) | ((F.col("__hash") == top["__hash"]) & (F.col("__key") <= F.lit(top["__key"])))
     )

@@ -7,6 +7,7 @@ from particlelake.plans import (  # noqa: F401
     analysis_queries,
     cluster_queries,
     decision_queries,
+    file_queries,
     join_queries,
     particle_queries,
     record_queries,

@@ -158,7 +158,7 @@ def _with_accuracies(table: DataFrame, summary: dict) -> DataFrame:
 @query("surrogate_models")
 def surrogate_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = st.labelled_space(spark, sf_dir).select("image_id", "cluster_label", *FEATURES)
-    return _with_accuracies(*models.surrogate_models(space, FEATURES, trees=20, max_iter=50))
+    return _with_accuracies(*models.surrogate_models(space, FEATURES))
 
 
 @query("context_models")
@@ -167,7 +167,7 @@ def context_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     month = F.substring("capture_datetime", 6, 2)
     rows = rows.withColumn("capture_season", F.when(F.col("record_pm10").isNotNull(), month))
     return _with_accuracies(
-        *models.context_models(rows, ["record_pm10", "record_pm25", "official_pm10"], ["capture_season"], trees=10, max_iter=30)
+        *models.context_models(rows, ["record_pm10", "record_pm25", "official_pm10"], ["capture_season"])
     )
 
 
@@ -195,8 +195,9 @@ def ingest_records_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "upsert_values_stream",
-    """WITH l AS (SELECT user_id, arg_max(value, event_id) AS v FROM events GROUP BY user_id)
-SELECT s_suppkey AS id, CASE WHEN l.user_id IS NOT NULL THEN CASE WHEN v > 2 THEN round(v, 6) END ELSE round(s_acctbal, 6) END AS pm10
+    """WITH l AS (SELECT user_id, arg_max(value, event_id) AS v, max(event_id) AS latest FROM events GROUP BY user_id)
+SELECT s_suppkey AS id, CASE WHEN l.user_id IS NOT NULL THEN CASE WHEN v > 2 THEN round(v, 6) END ELSE round(s_acctbal, 6) END AS pm10,
+  coalesce(latest, -1) AS fetched_at
 FROM supplier LEFT JOIN l ON s_suppkey = user_id""",
 )
 def upsert_values_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +210,7 @@ def upsert_values_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("fetched_at"),
     )
     ingest.upsert_values_stream(updates, f"{base}/stations", "id", ["pm10", "fetched_at"], f"{base}/state").awaitTermination()
-    return rounded(ingest.read_snapshot(spark, f"{base}/stations").select("id", "pm10"))
+    return rounded(ingest.read_snapshot(spark, f"{base}/stations").select("id", "pm10", "fetched_at"))
 
 
 # --- images ---------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from particlelake import fixed_values as fv
@@ -346,10 +346,23 @@ def selection_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- feature cleaning ------------------------------------------------------------
-CLEAN_COLUMNS = (
+CLEAN_COLUMNS = fv.EXTENDED_FEATURES
+_SPECIAL = (
     "num_particles", "particle_density", "mean_pixel_intensity", "area_median", "feret_p90", "solidity_median",
     "circularity_median", "aspect_ratio_p90", "eccentricity_iqr",
 )
+#: The other columns: quarters of a remainder, every third one skewed by its cube.
+_PLAIN = tuple((j, c) for j, c in enumerate(CLEAN_COLUMNS) if c not in _SPECIAL)
+
+
+def _plain_column(j: int, name: str) -> Column:
+    part = ((F.col("o_custkey") * (j + 3) + F.col("o_orderkey") * (2 * j + 1)) % (101 + 2 * j)).cast("double") / 4.0
+    return (part * part * part if j % 3 == 0 else part).alias(name)
+
+
+def _plain_sql(j: int, name: str) -> str:
+    part = f"((o_custkey * {j + 3} + o.o_orderkey * {2 * j + 1}) % {101 + 2 * j})::DOUBLE / 4.0::DOUBLE"
+    return f"({part}) * ({part}) * ({part}) AS {name}" if j % 3 == 0 else f"{part} AS {name}"
 
 
 def cleaning_input(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,10 +387,11 @@ def cleaning_input(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0.5).alias("circularity_median"),
         F.lit(None).cast("double").alias("aspect_ratio_p90"),
         F.when(F.col("o_orderkey") % 40 == 0, 1.0).otherwise(0.0).alias("eccentricity_iqr"),
+        *[_plain_column(j, c) for j, c in _PLAIN],
     )
 
 
-_KEPT = ("num_particles", "particle_density", "mean_pixel_intensity", "area_median", "feret_p90", "solidity_median", "eccentricity_iqr")
+_KEPT = tuple(c for c in CLEAN_COLUMNS if c not in ("circularity_median", "aspect_ratio_p90"))  # constant, empty
 
 
 def _each(template: str) -> str:
@@ -386,7 +400,8 @@ def _each(template: str) -> str:
 
 _CLEAN_SQL = f"""base AS (SELECT o.o_orderkey AS image_id, coalesce(n, 0) = 0 AS zero, coalesce(n, 0)::DOUBLE AS num_particles, pow(coalesce(n, 0)::DOUBLE, 4) AS particle_density,
    o_totalprice / 2000.0::DOUBLE AS mean_pixel_intensity, q AS area_median, p / 1000.0::DOUBLE AS feret_p90,
-   CASE WHEN o_custkey % 50 <> 0 THEN 1 - d END AS solidity_median, CASE WHEN o.o_orderkey % 40 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS eccentricity_iqr
+   CASE WHEN o_custkey % 50 <> 0 THEN 1 - d END AS solidity_median, CASE WHEN o.o_orderkey % 40 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS eccentricity_iqr,
+   {", ".join(_plain_sql(j, c) for j, c in _PLAIN)}
    FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS n, avg(l_quantity) AS q, max(l_extendedprice) AS p, avg(l_discount) AS d FROM lineitem GROUP BY 1) l
      ON o.o_orderkey = l.l_orderkey WHERE o_orderstatus <> 'P'),
 fills AS (SELECT {_each("CASE WHEN count(*) FILTER ({c} IS NULL AND NOT zero) > 0 THEN median({c}) ELSE 0 END AS {c}")} FROM base),

@@ -140,6 +140,38 @@ def test_streams_match_batch_and_survive_a_replay(spark, tmp_path):
         assert found == {1: (6.0, "t2"), 2: (None, "t3"), 3: (0.0, "")}
 
 
+def test_a_batch_rewrites_only_its_buckets(spark, tmp_path):
+    schema = "id long, pm10 double, fetched_at string, name string"
+    path, source = str(tmp_path / "stations"), str(tmp_path / "in")
+    first = spark.range(200).selectExpr("id", "cast(id as double) as pm10", "'' as fetched_at", "concat('s', id) as name")
+    ingest.write_snapshot(first, path, buckets=16)
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("id long, pm10 double, fetched_at string").option("maxFilesPerTrigger", 1).parquet(source)
+    wanted = {i: (float(i), "", f"s{i}") for i in range(200)}
+    before = ingest._manifest(spark, path, -1)[0]
+    for step, rows in enumerate([[(7, 70.0, "t1"), (7, 71.0, "t2")], [(7, None, "t3"), (8, 80.0, "t3")], [(999, 1.0, "t4"), (None, 2.0, "t4")], [(9, float("nan"), "t5")]]):
+        spark.createDataFrame(rows, "id long, pm10 double, fetched_at string").coalesce(1).write.mode("append").parquet(source)
+        ingest.upsert_values_stream(stream, path, "id", ["pm10", "fetched_at"], str(tmp_path / "state")).awaitTermination()
+        after = ingest._manifest(spark, path, step)[0]
+        moved = {b for b in after if after[b] != before[b]}
+        assert len(moved) <= len({r[0] for r in rows if r[0] is not None}) and all(after[b] == step for b in moved)
+        assert moved or not {r[0] for r in rows} & set(range(200))
+        before = after
+        for i, value, at in rows:
+            if i in wanted:
+                wanted[i] = (None if value is None or value != value else value, at, wanted[i][2])
+        assert {r["id"]: (r["pm10"], r["fetched_at"], r["name"]) for r in ingest.read_snapshot(spark, path).collect()} == wanted
+    assert ingest._versions(spark, path) == [2, 3]
+    listed = set(before.values()) | set(ingest._manifest(spark, path, 2)[0].values())
+    assert {int(n.split("=")[1]) for n in ingest._children(spark, f"{path}/data")} <= listed | {3}
+
+
+def test_an_empty_snapshot_stays_readable(spark, tmp_path):
+    path = str(tmp_path / "none")
+    ingest.write_snapshot(spark.createDataFrame([], "id long, pm10 double"), path)
+    assert ingest.read_snapshot(spark, path).columns == ["id", "pm10"] and ingest.read_snapshot(spark, path).count() == 0
+
+
 def test_pixel_statistics():
     red = np.zeros((4, 4, 3), dtype=np.uint8)
     red[..., 2] = 255
