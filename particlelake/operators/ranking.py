@@ -141,11 +141,12 @@ def _adjusted_in_window(df: DataFrame, p: str, output: str, within: Sequence[str
     tested = quoted(p).isNotNull()
     by_rank = Window.partitionBy(*groups, tested).orderBy(quoted(p))
     everyone = Window.partitionBy(*groups, tested)
-    upward = by_rank.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # a frame that grows is one pass; one that shrinks is read anew for every row
+    downward = everyone.orderBy(quoted(p).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     scaled = quoted(p) * F.count(F.lit(1)).over(everyone) / F.row_number().over(by_rank)
     return (
         df.withColumn("__scaled", F.when(tested, F.least(F.lit(1.0), scaled)))
-        .withColumn(output, F.when(tested, F.min("__scaled").over(upward)))
+        .withColumn(output, F.when(tested, F.min("__scaled").over(downward)))
         .drop("__scaled")
     )
 
@@ -169,7 +170,7 @@ def _adjusted_in_ranges(df: DataFrame, p: str, output: str, within: Sequence[str
         ranged.groupBy(*keys, "__range").agg(F.min("__scaled").alias("__least"))
         .select(*keys, "__range", F.coalesce(F.min("__least").over(later), F.lit(1.0)).alias("__beyond"))
     )
-    inside = Window.partitionBy(*keys, "__range").orderBy(quoted(p)).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    inside = Window.partitionBy(*keys, "__range").orderBy(quoted(p).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumn("__local", F.min("__scaled").over(inside))
     adjusted = key_join(local, beyond, [*keys, "__range"]).select(
         *[quoted(k) for k in keys], quoted(p), F.least("__local", "__beyond").alias(output)
