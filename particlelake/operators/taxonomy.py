@@ -145,12 +145,21 @@ def taxonomy_suggestions(
     descriptions: DataFrame | None = None,
 ) -> DataFrame:
     """Primary and secondary category of each cluster, its confidence and evidence."""
-    scores = taxonomy_scores(profile, [key], weights)
-    packed = scores.groupBy(quoted(key)).agg(
-        F.sort_array(
-            F.collect_list(F.struct((-F.col("score")).alias("by"), F.col("category_ord").alias("ord"), "category", "score", "contributions"))
-        ).alias("all")
+    names = {f for w in weights.values() for f in w if f in profile.columns}
+    z = {f: scalar.finite(quoted(f)) for f in names}
+    place = {c: [(-_score(z, w)).alias("by"), F.lit(i).alias("ord")] for i, (c, w) in enumerate(weights.items())}
+    listed = {c: F.struct(*place[c], _public(_contributions(z, w)).alias("contributions")) for c, w in weights.items()}
+    # two places of a row are all that its cluster's two best need; entries travel for the named categories only
+    best = F.slice(F.array_sort(F.array(*[F.struct(*p) for p in place.values()])), 1, 2).alias("best")
+    leading = (F.array_min(F.array(*listed.values())) if len(listed) > 1 else next(iter(listed.values()))).alias("leading")
+    fallback = [listed[c].alias("fallback") for c in listed if c == fv.FALLBACK_CATEGORY]
+    packed = profile.select(quoted(key), best, leading, *fallback).groupBy(quoted(key)).agg(
+        F.sort_array(F.flatten(F.collect_list("best"))).alias("places"),
+        F.min("leading").alias("leading"), *[F.min("fallback").alias("fallback") for _ in fallback],
     )
+    categories = F.array(*[F.lit(c) for c in weights])
+    named = F.transform("places", lambda e: F.struct(F.get(categories, e["ord"]).alias("category"), (-e["by"]).alias("score")))
+    packed = packed.withColumn("all", named)
     first, second = F.col("all")[0], F.col("all")[1]
     gap = first["score"] - second["score"]
     primary = F.when(
@@ -162,7 +171,9 @@ def taxonomy_suggestions(
         .otherwise(F.lit("moderate"))
     )
     chosen = packed.withColumns({"primary_category": primary, "score_gap": gap, "confidence": confidence})
-    own = F.filter("all", lambda e: e["category"] == F.col("primary_category"))[0]["contributions"]
+    own = F.when(F.col("primary_category") == first["category"], F.col("leading")["contributions"])
+    if fallback:
+        own = own.when(F.col("primary_category") == fv.FALLBACK_CATEGORY, F.col("fallback")["contributions"])
     evidence = F.array_join(
         F.transform(
             F.slice(own, 1, fv.EVIDENCE_COUNT),
@@ -290,7 +301,9 @@ def backfill_taxonomy(
     """
     candidates = backfill_candidates(records, image, taxonomy, (key,), force, skip, limit)
     model = F.struct("status", "top_category", "top_category_label", "ranked_categories", "feature_count", "used_formula_features")
-    found = ranked.select(quoted(key), F.col("status").alias("__status"), model.alias("__model"))
+    # rankings are wide: only those of candidates are made and moved
+    asked = ranked.join(candidates.select(quoted(key)).distinct(), key, "left_semi")
+    found = asked.select(quoted(key), F.col("status").alias("__status"), model.alias("__model"))
     joined = candidates.join(found, key, "left")
     blank = scalar.non_blank(F.trim(quoted(image))).isNull()
     outcome = (
