@@ -227,28 +227,26 @@ def numeric_summary(
 
     A group without any value of a variable keeps a row with count 0 and nulls.
     """
-    long = melt(df, [quoted(group)], {c: scalar.finite(quoted(c)) for c in columns}, "variable", "value").where(
-        F.col("value").isNotNull()
-    )
+    # columns stay side by side, so rows are read, placed and counted once for all of them
+    named = {f"__v{i}": c for i, c in enumerate(columns)}
+    wide = df.where(quoted(group).isNotNull()).select(quoted(group), *[scalar.finite(quoted(c)).alias(v) for v, c in named.items()])
     stats = aggregate_with_percentiles(
-        long,
-        ["variable", group],
-        {"value": {"q25": 0.25, "median": 0.5, "q75": 0.75}},
-        [F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")],
+        wide,
+        [group],
+        {v: {f"{v}_q25": 0.25, f"{v}_median": 0.5, f"{v}_q75": 0.75} for v in named},
+        [f(v).alias(f"{v}_{output}") for v in named for f, output in ((F.count, "count"), (F.avg, "mean"), (F.stddev_pop, "std"))],
         hot_rows=hot_rows,
     )
-    cells = (
-        df.select(quoted(group)).where(quoted(group).isNotNull()).distinct()
-        .select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("variable"), quoted(group))
-    )
-    return cells.join(stats, ["variable", group], "left").select(
-        "variable",
-        quoted(group),
-        F.coalesce("count", F.lit(0)).cast("long").alias("count"),
-        "mean",
-        "median",
-        "std",
-        (F.col("q75") - F.col("q25")).alias("iqr"),
+    cells = [
+        F.struct(
+            F.lit(c).alias("variable"),
+            *[F.col(f"{v}_{output}").alias(output) for output in ("count", "mean", "median", "std")],
+            (F.col(f"{v}_q75") - F.col(f"{v}_q25")).alias("iqr"),
+        )
+        for v, c in named.items()
+    ]
+    return stats.select(quoted(group), F.inline(F.array(*cells))).select(
+        "variable", quoted(group), "count", "mean", "median", "std", "iqr"
     )
 
 
