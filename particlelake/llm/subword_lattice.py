@@ -5,7 +5,7 @@ and expectation maximisation over all distinct training words turns them into pi
 probabilities. A word is the sum over all its segmentations, by forward recursion in
 log space; a text is its words and one end. Words start with the vocabulary's word
 mark, so pieces never cross them and a word's likelihood does not depend on its
-neighbours: lattices are built once per distinct word and batch.
+neighbours: lattices are built once per distinct word of the corpus.
 
 A training word's lattice has one more arc, the whole word. Absolute discounting
 gives it the word's count less a discount, and the mass taken from all words is what
@@ -30,8 +30,6 @@ CHARACTER_BITS = 21
 END = "</s>"
 #: Words with their counts that every task gets; the count limit follows from the corpus.
 FREQUENT_WORDS = 1 << 17
-#: Words whose likelihood a worker remembers before it starts over.
-CACHE_WORDS = 300_000
 WORDS_AT_ONCE = 20_000
 DOCS_AT_ONCE = 500
 COUNTED_WORDS = 200_000
@@ -183,7 +181,7 @@ def _words(text: bytes) -> list[bytes]:
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, n) over all texts, pre-aggregated in every task."""
+    """(word, n) of all texts, pre-aggregated in every task; ``n`` counts rows that are not held out, 0 for words of held-out rows alone."""
 
     def run(batches: Batches) -> Batches:
         counts: Counter = Counter()
@@ -196,14 +194,32 @@ def word_counts(rows: DataFrame) -> DataFrame:
             return batch
 
         for batch in in_slices(batches, DOCS_AT_ONCE):
-            for text in binary_values(batch, "text"):
-                counts.update(_words(text))
+            for text, held_out in zip(binary_values(batch, "text"), column_values(batch, "held_out")):
+                if held_out:
+                    for word in _words(text):
+                        counts.setdefault(word, 0)
+                else:
+                    counts.update(_words(text))
             if len(counts) > COUNTED_WORDS:
                 yield flush()
         if counts:
             yield flush()
 
-    return rows.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.select("text", "held_out").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def word_likelihoods(counts: DataFrame, path: str, log_weights: np.ndarray) -> DataFrame:
+    """``counts(word, n)`` with ``likely``, the log10 of the summed probability of all segmentations of the word."""
+    shared = counts.sparkSession.sparkContext.broadcast(log_weights)
+
+    def run(batches: Batches) -> Batches:
+        own, weights = vocabulary(path), shared.value
+        for batch in in_slices(batches, WORDS_AT_ONCE):
+            if batch.num_rows:
+                values = Lattices(column_values(batch, "word"), own).log_likelihoods(weights) / math.log(10)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], names=["word", "n", "likely"])
+
+    return counts.select("word", "n").mapInArrow(run, "word string, n long, likely double")
 
 
 def discount_of(counts: DataFrame) -> float:
@@ -243,17 +259,17 @@ def fit_pieces(counts: DataFrame, path: str, rounds: int = 2, smoothing: float =
     return log_weights
 
 
-def frequent_words(counts: DataFrame, limit: int) -> dict[bytes, int]:
-    """Words with at least a power of two occurrences, the smallest power that ``limit`` words or fewer reach."""
+def frequent_words(scored: DataFrame, limit: int) -> dict[bytes, tuple[int, float]]:
+    """(n, likely) of words with at least a power of two occurrences, the smallest power that ``limit`` words or fewer reach."""
     level = F.floor(F.log2("n")).cast("int")
-    sizes = dict(counts.groupBy(level.alias("level")).count().collect())
+    sizes = dict(scored.where("n > 0").groupBy(level.alias("level")).count().collect())
     total, lowest = 0, 63
     for step in range(62, -1, -1):
         total += sizes.get(step, 0)
         if total > limit:
             break
         lowest = step
-    return {r["word"].encode("utf-8"): r["n"] for r in counts.where(F.col("n") >= 2**lowest).toLocalIterator()}
+    return {r["word"].encode("utf-8"): (r["n"], r["likely"]) for r in scored.where(F.col("n") >= 2**lowest).toLocalIterator()}
 
 
 def lattice_scores(
@@ -278,70 +294,53 @@ def lattice_scores(
         "doc_id", "text", row_signature(F.col("text")).alias("signature"),
         F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(held_out_of)) == 0, F.lit(False)).alias("held_out"),
     )
-    train = rows.where(~F.col("held_out"))
-    ends = train.count()
-    counts = stored(word_counts(train), "words")
-    words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    ends = rows.where(~F.col("held_out")).count()
+    counts = stored(word_counts(rows), "words")
+    words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     tokens, kinds = words + ends, distinct + (1 if ends else 0)
     divisor = tokens + 0.1 * (kinds + 1)
     discount = discount_of(counts)
     spread = discount * kinds / tokens if tokens else 1.0
-    log_weights = fit_pieces(counts, vocabulary_path, rounds)
+    log_weights = fit_pieces(counts.where("n > 0"), vocabulary_path, rounds)
     vocab = vocabulary(vocabulary_path)
     starts = np.exp(log_weights[[i for p, i in vocab.lattice.items() if p.startswith(MARK)]]).sum()
     end_share = float(np.exp(log_weights[vocab.end]) / (starts + np.exp(log_weights[vocab.end])))
     end_score = math.log10((max(ends - discount, 0) / tokens if tokens else 0) + spread * end_share)
-    model = spark.sparkContext.broadcast((log_weights, frequent_words(counts, frequent)))
+    scored = stored(word_likelihoods(counts, vocabulary_path, log_weights), "likelihoods")
+    often = {
+        word: (math.log10((n + 0.1) / divisor), math.log10((n - discount) / tokens + spread * 10**likely))
+        for word, (n, likely) in frequent_words(scored, frequent).items()
+    }
+    model = spark.sparkContext.broadcast(often)
     end_base = math.log10((ends + 0.1) / divisor)
 
     def run(batches: Batches) -> Batches:
-        vocab = vocabulary(vocabulary_path)
-        weights, often = model.value
-        often_base = {w: math.log10((c + 0.1) / divisor) for w, c in often.items()}
-        likely: dict[bytes, float] = {}
-        to_log10 = 1 / math.log(10)
+        value_of = model.value.get
         for batch in in_slices(batches, DOCS_AT_ONCE):
-            counted = [Counter(_words(t)) for t in binary_values(batch, "text")]
-            if len(likely) > CACHE_WORDS:
-                likely.clear()
-            new = list({w for c in counted for w in c if w not in likely})
-            for start in range(0, len(new), WORDS_AT_ONCE):
-                part = new[start: start + WORDS_AT_ONCE]
-                values = Lattices([w.decode("utf-8") for w in part], vocab).log_likelihoods(weights) * to_log10
-                likely.update(zip(part, values.tolist()))
-            owner, token, times, number, known, base, score, copies = [], [], [], [], [], [], [], []
-            for row, words_of in enumerate(counted):
-                sums = [1, 1 if ends else 0, end_base, end_score]
-                for word, n in words_of.items():
-                    sums[0] += n
-                    value = often_base.get(word)
+            owner, token, times, sums = [], [], [], []
+            for row, text in enumerate(binary_values(batch, "text")):
+                found = _words(text)
+                known, base, score, before = 1 if ends else 0, end_base, end_score, len(token)
+                for word, n in Counter(found).items():
+                    value = value_of(word)
                     if value is None:
-                        owner.append(row)
                         token.append(word)
                         times.append(n)
-                        number.append(0)
-                        known.append(0)
-                        base.append(0.0)
-                        score.append(likely[word])
-                        copies.append(0)
                     else:
-                        sums[1] += n
-                        sums[2] += n * value
-                        sums[3] += n * math.log10((often[word] - discount) / tokens + spread * 10 ** likely[word])
-                owner.append(row)
-                token.append(b"of row %d" % row)
-                times.append(0)
-                number.append(sums[0])
-                known.append(sums[1])
-                base.append(sums[2])
-                score.append(sums[3])
-                copies.append(1)
-            take = pa.array(owner, pa.int64())
+                        known += n
+                        base += n * value[0]
+                        score += n * value[1]
+                owner.append(len(token) - before)
+                sums.append((len(found) + 1, known, base, score))
+            rare, own = len(token), len(sums)
+            take = pa.array(np.concatenate([np.repeat(np.arange(own), owner), np.arange(own)]).astype(np.int64))
+            token.extend(b"of row %d" % row for row in range(own))
+            number, known, base, score = (np.concatenate([np.zeros(rare, kind), np.array(x, kind)]) for kind, x in zip("qqdd", zip(*sums)))
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(batch.schema.get_field_index(c)).take(take) for c in ("doc_id", "signature", "held_out")),
-                    pa.array(token, pa.binary()).cast(pa.string()), pa.array(times, pa.int64()), pa.array(number, pa.int64()),
-                    pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(copies, pa.int64()),
+                    pa.array(token, pa.binary()).cast(pa.string()), pa.array(np.array(times + [0] * own, "q")), pa.array(number),
+                    pa.array(known), pa.array(base), pa.array(score), pa.array(np.repeat(np.array([0, 1], "q"), (rare, own))),
                 ],
                 names=["doc_id", "signature", "held_out", "word", "times", "n_tokens", "n_known", "base", "score", "copies"],
             )
@@ -353,12 +352,12 @@ def lattice_scores(
         "base double, score double, copies long",
     )
     # A row's own sums travel under a token with spaces, which is no word, one for each place in a batch.
-    joined = parts.join(counts, "word", "left")
+    joined = parts.join(scored, "word", "left")
     count = F.coalesce("n", F.lit(0))
     rare = F.col("times") * F.log10((count + F.lit(0.1)) / F.lit(divisor))
-    parted = F.lit(math.log10(spread)) + F.col("score")
+    parted = F.lit(math.log10(spread)) + F.col("likely")
     arc = (F.col("n") - F.lit(discount)) / F.lit(max(tokens, 1))
-    whole = F.when(F.col("n").isNull(), parted).otherwise(F.log10(arc + F.pow(F.lit(10.0), parted)))
+    whole = F.when(count == 0, parted).otherwise(F.log10(arc + F.pow(F.lit(10.0), parted)))
     summed = joined.groupBy("doc_id", "signature", "held_out").agg(
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(count > 0, F.col("times")).otherwise(0)).alias("n_known"),

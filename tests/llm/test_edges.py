@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from particlelake.llm import (
@@ -192,6 +193,16 @@ def test_lattice_edges(docs, nothing, rows):
     assert subword_lattice.lattice_scores(nothing, queries.PIECES).count() == 0
 
 
+def test_lattices_are_built_once_per_word(spark):
+    rows = spark.createDataFrame([("a b a", False), ("B c", False), ("c d d", True), ("d é", True), (None, False)], "text string, held_out boolean")
+    counts = subword_lattice.word_counts(rows.repartition(5))
+    weights = subword_lattice.vocabulary(queries.PIECES).first_weights
+    scored = subword_lattice.word_likelihoods(counts, queries.PIECES, weights).collect()
+    assert Counter((r["word"], r["n"]) for r in scored) == Counter([("a", 2), ("b", 2), ("c", 1), ("d", 0), ("é", 0)])
+    values = subword_lattice.Lattices([r["word"] for r in scored], subword_lattice.vocabulary(queries.PIECES)).log_likelihoods(weights)
+    assert [r["likely"] for r in scored] == pytest.approx(list(values / np.log(10)))
+
+
 def test_mix_edges(docs, nothing, rows):
     found = source_schedule.taken_words(docs, block=16).collect()
     assert Counter(r["doc_id"] for r in found) == Counter({**dict.fromkeys(rows, 1), 2: 3, None: 2})
