@@ -6,12 +6,14 @@ of ``PARTS`` parts of them, the ``PART_SHINGLES`` smallest under a hash of the p
 through ball hashing, and texts with near fingerprints of one kind are candidates. Two texts
 of similarity s share a part with probability s**3, so at 0.8 twelve parts miss a pair once in 5,500 times.
 
-Candidates are compared by their whole shingle sets, always as stars: the texts that share
-a fingerprint are compared with the smallest of them. Where some stay apart
-from it, the bucket is cut by a further part, and in each piece that still holds unlike groups
-all texts are compared with a text of up to ``CENTRES`` of those groups. A piece of more
-groups is cut again, until a level finds no link. Nothing is joined with itself on a key. Equal sets are one node; ids and hashes
-travel, and texts only to the task of the centre they are compared with.
+Candidates are compared by their whole shingle sets. The texts of a bucket, which are those of
+equal or chained near fingerprints of one kind, are first compared with the smallest of them, as stars.
+Where some stay apart, every pair of texts of unlike groups of the bucket is compared: the texts
+are dealt to blocks of bounded size, and a task compares two blocks and returns links that span
+what it found. So no link between two texts of a bucket is lost. A group that fills blocks has
+blocks of its own, which never meet each other; the work grows with the square of a bucket's
+unlike texts, the rows sent with that square over a block. Equal sets are one node; ids and
+hashes travel, and texts only to the tasks that compare them.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,10 +32,10 @@ from particlelake.llm.components import linked_components
 from particlelake.llm.simhash_ball import SEED, ball_links, fingerprint_of, shingle_hashes
 
 PARTS, PART_SHINGLES = 12, 3
-#: Unlike groups of a piece that give a centre; a piece with more of them is cut further.
-CENTRES = 8
 #: Texts that one task compares with a copy of their centre.
 STAR_TEXTS = 512
+#: Texts of a block, and shingles of all of them, about; a task holds two blocks.
+BLOCK_TEXTS, BLOCK_SHINGLES = 2048, 1 << 20
 _RANDOM = np.random.default_rng(SEED)
 _FACTORS = _RANDOM.integers(0, 1 << 64, PARTS, dtype=np.uint64) | np.uint64(1)
 #: The node of null texts; texts without words are another one.
@@ -145,45 +147,105 @@ def _shared(members: DataFrame) -> DataFrame:
     return members.join(met.select("key", F.col("lo").alias("centre")), "key")
 
 
+def spanning_links(sets: list[np.ndarray], groups: np.ndarray, block: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Places of similar ``sets`` of unlike ``groups``, as many as connect all that are similar.
+
+    ``block`` tells two blocks apart; sets of one block are compared only where there is no other one.
+    Overlaps are counted through lists of the sets that hold a shingle. A set that is similar to another
+    one shares one of its rarest shingles with it, all but ``similarity`` of them and one more.
+    """
+    groups, sizes = groups.copy(), np.array([len(x) for x in sets])
+    left = np.flatnonzero(block == block.min())
+    right = np.flatnonzero(block == block.max())
+    owners = np.repeat(np.arange(len(right)), sizes[right])
+    held = np.concatenate([sets[y] for y in right])
+    order = np.argsort(held, kind="stable")
+    tokens, first = np.unique(held[order], return_index=True)
+    lists, ends = owners[order], np.append(first[1:], len(held))
+
+    def holders(places: np.ndarray) -> np.ndarray:
+        n = ends[places] - first[places]
+        return lists[np.repeat(first[places] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+    found = []
+    for x in left.tolist():
+        if (groups[right] == groups[x]).all():
+            continue
+        places = np.minimum(np.searchsorted(tokens, sets[x]), len(tokens) - 1)
+        places = places[tokens[places] == sets[x]]
+        absent = sizes[x] - len(places)
+        rarest = sizes[x] - int(np.ceil(similarity * sizes[x] - 1e-9)) + 1 - absent
+        if rarest <= 0:
+            continue
+        if rarest < len(places):
+            near = holders(places[np.argpartition((ends - first)[places], rarest - 1)[:rarest]])
+            if (groups[right[near]] == groups[x]).all():
+                continue
+        shared = np.bincount(holders(places), minlength=len(right))
+        alike = shared >= similarity * (sizes[x] + sizes[right] - shared) - 1e-9
+        for y in right[alike & (groups[right] != groups[x])].tolist():
+            if groups[y] != groups[x]:
+                found.append((x, y))
+                groups[groups == groups[y]] = groups[x]
+    return found
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """(key, i, j, block, node, root) of ``members(key, node, size, root)``, once for each other block of a key it meets.
+
+    Groups larger than a block have blocks of their own; all others of the key share mixed ones.
+    """
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK_TEXTS, size / BLOCK_SHINGLES)).cast("int")
+    groups = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    own = F.when(blocks(F.col("n"), F.col("size")) > 1, F.col("root"))
+    kinds = groups.groupBy("key", own.alias("own")).agg(blocks(F.sum("n"), F.sum("size")).alias("blocks"))
+    kinds = kinds.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("own", "blocks"))).alias("kinds"))
+    before = F.transform("kinds", lambda k, at: F.struct(
+        k["own"].alias("own"), k["blocks"].alias("blocks"),
+        F.aggregate(F.slice("kinds", F.lit(1), at), F.lit(0), lambda s, x: s + x["blocks"]).alias("start"),
+    ))
+    placed = members.join(kinds.select("key", before.alias("kinds")), "key")
+    mine = F.coalesce(*[F.get(F.filter("kinds", of), F.lit(0)) for of in (lambda k: k["own"] == F.col("root"), lambda k: k["own"].isNull())])
+    placed = placed.withColumn("mine", mine).withColumn("total", F.aggregate("kinds", F.lit(0), lambda s, x: s + x["blocks"]))
+    block = F.col("mine.start") + F.pmod(F.xxhash64("node"), F.col("mine.blocks")).cast("int")
+    sent = placed.select("key", "node", "root", "mine", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("total") - 1)).alias("other"))
+    alike = F.col("mine.own").isNotNull() & F.col("other").between(F.col("mine.start"), F.col("mine.start") + F.col("mine.blocks") - 1)
+    return sent.where(~alike).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root")
+
+
+def unlike_links(members: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b) links that connect all similar nodes of a key of ``members(key, node, size, root)`` whose roots differ."""
+
+    def compared(rows: pa.Table) -> pa.Table:
+        nodes, roots, block = (rows.column(c).to_numpy() for c in ("node", "root", "block"))
+        texts = rows.column("text").cast(pa.binary()).to_pylist()
+        sets = [distinct_hashes(list(shingle_hashes(t, words))) for t in texts]
+        pairs = np.array(spanning_links(sets, roots, block, similarity), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(nodes[pairs[:, 0]], pa.int64()), "b": pa.array(nodes[pairs[:, 1]], pa.int64())})
+
+    apart = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    sent = _dealt(members.join(apart, "key", "left_semi")).join(texts, "node")
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number, as few bytes can be much work
+    return sent.repartition(tasks, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(compared, "a long, b long").distinct()
+
+
 def similar_links(nodes: DataFrame, docs: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
     """(a, b) links that connect similar ``nodes(node, __s1, __s2, size, fingerprint, parts)``; texts from ``docs(__s1, __s2, text)``."""
     kinds = nodes.select("node", "size", F.posexplode(F.concat("parts", F.array("fingerprint"))).alias("part", "fp"))
-    key = F.xxhash64("part", "fp").alias("key")
-    buckets = scratch.stored(_shared(kinds.select(key, "part", "node", "size")), "buckets")
-    prints = kinds.select("part", "fp").distinct()
-    balls = scratch.stored(ball_links(prints.withColumnRenamed("fp", "fingerprint"), within="part").where("a <> b"), "balls")
-    ends = balls.select("part", F.col("a").alias("fp")).unionByName(balls.select("part", F.col("b").alias("fp"))).distinct()
-    firsts = scratch.stored(kinds.join(ends, ["part", "fp"], "left_semi").groupBy("part", "fp").agg(F.min(F.struct("node", "size")).alias("x")).select("part", "fp", "x.*"), "ball-ends")
-    end = lambda side: firsts.select("part", F.col("fp").alias(side), F.col("node").alias(f"{side}_node"), F.col("size").alias(f"{side}_n"))
-    near = balls.join(end("a"), ["part", "a"]).join(end("b"), ["part", "b"]).select(F.col("a_node").alias("a"), "a_n", F.col("b_node").alias("b"), "b_n")
-    crowd = scratch.stored(buckets.select("node").unionByName(firsts.select("node")).distinct(), "crowd")
-    wanted = nodes.join(crowd, "node", "left_semi").select(*_ROW, "node")
-    comparer = _Comparer(scratch.stored(docs.join(wanted, _ROW).select("node", "text"), "crowd-texts"), words, similarity, scratch)
+    prints = kinds.select("part", F.col("fp").alias("fingerprint")).distinct()
+    balls = ball_links(prints, within="part").select(F.xxhash64("part", "a").alias("a"), F.xxhash64("part", "b").alias("b"))
+    chained = linked_components(balls).select(F.col("id").alias("key"), F.col("root").alias("chain"))
+    keyed = kinds.select(F.xxhash64("part", "fp").alias("key"), "node", "size").join(chained, "key", "left")
+    buckets = scratch.stored(_shared(keyed.select(F.coalesce("chain", "key").alias("key"), "node", "size")), "buckets")
+    wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select(*_ROW, "node")
+    texts = scratch.stored(docs.join(wanted, _ROW).select("node", "text").dropDuplicates(["node"]), "crowd-texts")
+    comparer = _Comparer(texts, words, similarity, scratch)
     sizes = buckets.where("node = centre").select("key", F.col("size").alias("b_n"))
     stars = buckets.join(sizes, "key").select(F.col("node").alias("a"), F.col("size").alias("a_n"), F.col("centre").alias("b"), "b_n")
-    links = comparer.links(comparer.possible(stars.unionByName(near)))
-    members = buckets.select("key", "part", "node", "size")
-    parts = nodes.join(crowd, "node", "left_semi").select("node", "parts")
-    while True:
-        roots = linked_components(links).select(F.col("id").alias("node"), "root")
-        rooted = scratch.stored(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-        apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        cut = rooted.join(apart, "key", "left_semi").join(parts, "node").select(
-            "key", "part", "node", "size", "root", F.posexplode("parts").alias("next", "fp")
-        ).where("next > part").select(F.xxhash64("key", "next", "fp").alias("key"), F.col("next").alias("part"), "node", "size", "root")
-        still = cut.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        members = scratch.stored(cut.join(still, "key", "left_semi"), "pieces")
-        if members.isEmpty():
-            return links
-        one = members.groupBy("key", "root").agg(F.max(F.struct(F.xxhash64("key", "node").alias("any"), "node", "size")).alias("c"))
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("c.any", "root"))
-        centres = scratch.stored(one.select("key", F.col("root").alias("b_root"), F.col("c.node").alias("b"), F.col("c.size").alias("b_n"), rank.alias("rank")).where(F.col("rank") <= CENTRES + 1), "centres")
-        met = members.select("key", "root", F.col("node").alias("a"), F.col("size").alias("a_n")).join(centres.where(F.col("rank") <= CENTRES), "key")
-        new = comparer.links(comparer.possible(met.where("root <> b_root").select("a", "a_n", "b", "b_n")))
-        if new.isEmpty():
-            return links
-        links = scratch.stored(links.unionByName(new), "links")
-        members = members.join(centres.where(F.col("rank") == CENTRES + 1).select("key"), "key", "left_semi").drop("root")
+    links = comparer.links(comparer.possible(stars))
+    roots = linked_components(links).select(F.col("id").alias("node"), "root")
+    rooted = scratch.stored(buckets.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")), "rooted")
+    return scratch.stored(links.unionByName(unlike_links(rooted, texts, words, similarity)).distinct(), "links")
 
 
 def first_of_similar(

@@ -104,6 +104,66 @@ def test_a_shared_passage_does_not_hide_links(spark):
     assert kept_rows(spark, docs.items()) == Counter((i, docs[i]) for i in docs if groups[i] == i)
 
 
+def linked(spark, docs, buckets, roots):
+    """Links between the unlike texts of every bucket."""
+    texts = spark.createDataFrame(list(enumerate(docs)), "node long, text string")
+    rows = [(key, node, len(shingles(docs[node])), roots[node]) for key, nodes in enumerate(buckets) for node in nodes]
+    members = spark.createDataFrame(rows, "key long, node long, size long, root long")
+    return [(r["a"], r["b"]) for r in similar_texts.unlike_links(members, texts, 5, 0.8).collect()]
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_a_bucket_of_many_unlike_groups_loses_no_link(spark, monkeypatch, block):
+    """Every pair of unlike texts of a bucket is compared, in one block or in many, and none of like ones."""
+    monkeypatch.setattr(similar_texts, "BLOCK_TEXTS", block)
+    draw, texts = random.Random(4), []
+    passage = [f"p{k}" for k in range(40)]
+    for _ in range(30):
+        words = passage + [f"w{draw.randrange(10**6)}" for _ in range(draw.choice((30, 60, 90)))]
+        texts += [" ".join(words), " ".join(words[:-4] + [f"x{draw.randrange(10**6)}" for _ in range(4)])]
+    draw.shuffle(texts)
+    sets = dict(enumerate(texts))
+    roots = [k if k >= 20 else 0 for k in range(len(texts))]  # twenty texts are one group already
+    pairs = linked(spark, texts, [range(60), range(10, 30)], roots)
+    expected, group = similar_groups(sets), [(0, k) for k in range(20)]
+    s = {k: shingles(t) for k, t in sets.items()}
+    exact = [(a, b) for a in sets for b in sets if a < b and 5 * len(s[a] & s[b]) >= 4 * len(s[a] | s[b])]
+    assert len(set(expected.values())) == 30
+    assert brute.components(list(sets), pairs + group) == brute.components(list(sets), exact + group)
+    assert all(roots[a] != roots[b] and tuple(sorted((a, b))) in exact for a, b in pairs)
+
+
+def test_a_link_in_one_bucket_of_many_groups_is_kept(spark):
+    """One shared fingerprint only, in a bucket of more unlike groups than any number of centres."""
+    draw, docs = random.Random(6), {}
+    for k in range(40):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(60)]
+        docs[2 * k] = " ".join(words)
+        docs[2 * k + 1] = " ".join(words[:-3] + [f"x{draw.randrange(10**6)}" for _ in range(3)])
+    nodes = []
+    for k, text in docs.items():
+        hashes = similar_texts.distinct_hashes(list(similar_texts.shingle_hashes(text.encode(), 5)))
+        nodes.append((k, k, k, len(hashes), draw.getrandbits(62), [7, 1000 * k]))
+    nodes = spark.createDataFrame(nodes, "node long, __s1 long, __s2 long, size long, fingerprint long, parts array<bigint>")
+    texts = spark.createDataFrame([(k, k, t) for k, t in docs.items()], "__s1 long, __s2 long, text string")
+    with Scratch(spark) as scratch:
+        links = similar_texts.similar_links(nodes, texts, 5, 0.8, scratch).collect()
+    assert brute.components(list(docs), [(r["a"], r["b"]) for r in links]) == similar_groups(docs)
+
+
+def test_texts_of_chained_fingerprints_are_compared(spark):
+    """Two texts whose fingerprints are near, neither of them the smallest text of its fingerprint."""
+    draw = random.Random(8)
+    one, two, three = ([f"{c}{draw.randrange(10**6)}" for _ in range(60)] for c in "abc")
+    docs = [" ".join(x) for x in (one, two, three, three[:-3] + ["z1", "z2", "z3"])]
+    rows = [(k, k, k, 56, 12 if k == 3 or k == 1 else 13, [1000 * k + 5]) for k in range(4)]  # 0 and 2 share one, 1 and 3 another
+    nodes = spark.createDataFrame(rows, "node long, __s1 long, __s2 long, size long, fingerprint long, parts array<bigint>")
+    texts = spark.createDataFrame([(k, k, t) for k, t in enumerate(docs)], "__s1 long, __s2 long, text string")
+    with Scratch(spark) as scratch:
+        links = similar_texts.similar_links(nodes, texts, 5, 0.8, scratch).collect()
+    assert {tuple(sorted((r["a"], r["b"]))) for r in links} == {(2, 3)}
+
+
 def test_clashing_columns_and_long_texts(spark):
     long = " ".join(f"w{k * k % 100_003}" for k in range(60_000))
     rows = [(1, long), (2, long + " end"), (3, "x" * 1_000_000), (4, "x" * 1_000_000), (5, "short one"), (6, "short one"), (7, "SHORT\tone")]
