@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from particlelake.functions import scalar
@@ -16,6 +17,8 @@ from particlelake.operators.records import with_row_position
 from particlelake.runtime import quoted
 
 FOLDS = 5
+#: Training rows of a task: fewer than the first do not pay for a task of their own, more than the second make too large ones.
+FEWEST_ROWS, MOST_ROWS = 512, 200_000
 #: The deepest trees that Spark grows.
 MAX_DEPTH = 30
 
@@ -31,12 +34,34 @@ def with_folds(df: DataFrame, label: str, key: str, seed: int, folds: int = FOLD
     return placed.withColumn("fold", F.pmod(F.col("__position"), F.lit(folds)).cast("int")).drop("__h", "__position")
 
 
-def with_balanced_weights(df: DataFrame, label: str) -> DataFrame:
-    """Weight n / (classes x class size) for every row."""
-    sizes = df.groupBy(quoted(label)).agg(F.count(F.lit(1)).alias("__n"))
-    totals = sizes.agg(F.sum("__n").alias("n"), F.count(F.lit(1)).alias("k")).first()
-    weights = sizes.select(quoted(label), (F.lit(totals["n"]) / (F.lit(totals["k"]) * F.col("__n"))).alias("weight"))
-    return df.join(weights, label)
+def class_weights(sizes: dict[float, int]) -> Column:
+    """Weight n / (classes x class size) by ``label``, for a few classes of known sizes."""
+    total = sum(sizes.values())
+    return F.create_map(*[F.lit(x) for label, n in sorted(sizes.items()) for x in (label, total / (len(sizes) * n))])[F.col("label")]
+
+
+def training_rows(vectors: DataFrame, key: str, seed: int) -> tuple[DataFrame, dict[int, dict[float, int]]]:
+    """Rows with their folds, dealt to enough tasks for the cluster, and the class sizes of every fold.
+
+    A few rows would otherwise share one task, and so would all levels of a forest.
+    """
+    placed = with_folds(vectors, "label", key, seed)
+    sizes: dict[int, dict[float, int]] = {}
+    for r in placed.groupBy("fold", "label").count().collect():
+        sizes.setdefault(r["fold"], {})[r["label"]] = r["count"]
+    rows = sum(n for found in sizes.values() for n in found.values())
+    most = vectors.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(most, rows // FEWEST_ROWS), -(-rows // MOST_ROWS))
+    # the order inside a task decides on the subsamples of trees
+    return placed.repartition(tasks, F.xxhash64(quoted(key))).sortWithinPartitions("label", key, "fold"), sizes
+
+
+def _summed(sizes: dict[int, dict[float, int]], without: int | None = None) -> dict[float, int]:
+    total: Counter = Counter()
+    for fold, found in sizes.items():
+        if fold != without:
+            total.update(found)
+    return dict(total)
 
 
 def balanced_accuracy(predicted: DataFrame, label: str = "label") -> float:
@@ -58,19 +83,19 @@ def _logistic(total_weight: float, max_iter: int) -> LogisticRegression:
 
 
 def _evaluate(
-    forest_rows: DataFrame, logistic_rows: DataFrame, names: Sequence[str], trees: int, seed: int, max_iter: int,
-    max_depth: int,
+    forest_rows: DataFrame, logistic_rows: DataFrame, sizes: dict[int, dict[float, int]], names: Sequence[str], trees: int,
+    seed: int, max_iter: int, max_depth: int,
 ) -> tuple[DataFrame, dict]:
-    """Cross-validated accuracy of both models and their feature influence."""
+    """Cross-validated accuracy of both models and their feature influence; ``sizes`` are those of the classes by fold."""
     spark = forest_rows.sparkSession
     scores: dict[str, list[float]] = {"random_forest": [], "logistic": []}
-    rows = forest_rows.count()
+    rows = sum(_summed(sizes).values())
     for fold in range(FOLDS):
         for name, data, model in (
             ("random_forest", forest_rows, _forest(trees, seed, max_depth)),
             ("logistic", logistic_rows, _logistic(rows * (FOLDS - 1) / FOLDS, max_iter)),
         ):
-            train = with_balanced_weights(data.where(F.col("fold") != fold).drop("weight"), "label")
+            train = data.where(F.col("fold") != fold).withColumn("weight", class_weights(_summed(sizes, without=fold)))
             scores[name].append(balanced_accuracy(model.fit(train).transform(data.where(F.col("fold") == fold))))
     forest = _forest(trees, seed, max_depth).fit(forest_rows)
     logistic = _logistic(rows, max_iter).fit(logistic_rows)
@@ -111,9 +136,10 @@ def surrogate_models(
     if rows is None:
         return None, {"status": "skipped", "reason": "fewer than two non-noise clusters are available"}
     vector = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
-    ready = with_balanced_weights(with_folds(vector.select(key, "label", "features"), "label", key, seed), "label").persist()
+    placed, sizes = training_rows(vector.select(key, "label", "features"), key, seed)
+    ready = placed.withColumn("weight", class_weights(_summed(sizes))).persist()
     try:
-        return _evaluate(ready, ready, features, trees, seed, max_iter, max_depth)
+        return _evaluate(ready, ready, sizes, features, trees, seed, max_iter, max_depth)
     finally:
         ready.unpersist()
 
@@ -153,12 +179,13 @@ def context_models(
         names += [f"{c}={v}" for v in indexer.labels]
         inputs.append(f"__o_{c}")
     vector = VectorAssembler(inputCols=inputs, outputCol="features").transform(filled).select(key, "label", "features")
-    ready = with_balanced_weights(with_folds(vector, "label", key, seed), "label").persist()
+    placed, sizes = training_rows(vector, key, seed)
+    ready = placed.withColumn("weight", class_weights(_summed(sizes))).persist()
     try:
         scaled = (
             StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(ready).transform(ready)
             .drop("features").withColumnRenamed("scaled", "features")
         )
-        return _evaluate(ready, scaled, names, trees, seed, max_iter, max_depth)
+        return _evaluate(ready, scaled, sizes, names, trees, seed, max_iter, max_depth)
     finally:
         ready.unpersist()
