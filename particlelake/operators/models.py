@@ -52,8 +52,9 @@ def training_rows(vectors: DataFrame, key: str, seed: int) -> tuple[DataFrame, d
     rows = sum(n for found in sizes.values() for n in found.values())
     most = vectors.sparkSession.sparkContext.defaultParallelism
     tasks = max(1, min(most, rows // FEWEST_ROWS), -(-rows // MOST_ROWS))
-    # the order inside a task decides on the subsamples of trees
-    return placed.repartition(tasks, F.xxhash64(quoted(key))).sortWithinPartitions("label", key, "fold"), sizes
+    # the order inside a task decides on the subsamples of trees; that of the folds is kept
+    order = ["label", F.xxhash64(quoted(key), F.lit(seed)), quoted(key), "fold"]
+    return placed.repartition(tasks, F.xxhash64(quoted(key))).sortWithinPartitions(*order), sizes
 
 
 def _summed(sizes: dict[int, dict[float, int]], without: int | None = None) -> dict[float, int]:
