@@ -5,10 +5,11 @@ from __future__ import annotations
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from particlelake.operators import aggregates, order_stats, ranking, taxonomy, validity
+from particlelake.operators import aggregates, order_stats, preprocess, ranking, taxonomy, validity
 
 
 def _plan(df, kind="optimizedPlan"):
@@ -106,3 +107,25 @@ def test_distance_matrices_by_products():
     by_product = time.perf_counter() - began
     np.testing.assert_allclose(found, np.sqrt(total), rtol=1e-9, atol=0.0)
     assert by_product < by_feature / 2
+
+
+@pytest.mark.parametrize("range_rows", [1_000_000, 700])
+def test_rank_correlations_of_rows_without_a_key(spark, range_rows):
+    """Rows may share a key; ties, nulls, both zeros and a frequent value get mean ranks in every range."""
+    rng = np.random.default_rng(3)
+    table = pd.DataFrame({"a": rng.normal(size=3_000), "b": rng.integers(0, 5, 3_000) / 2.0, "c": 1.0, "d": rng.integers(0, 500, 3_000) / 7.0})
+    table["e"] = table["a"] + rng.normal(size=3_000)
+    table.loc[::7, "e"] = None
+    table.loc[::3, "d"], table.loc[::9, "d"] = 0.0, -0.0
+    names = list(table.columns)
+    wanted = table.fillna(-1e300).rank().corr().fillna(0.0).to_numpy()
+    np.fill_diagonal(wanted, 1.0)
+    df = spark.createDataFrame(table).withColumn("image_id", F.lit(1)).repartition(3)
+    found = preprocess.spearman_matrix(df, names, hot_rows=range_rows).toPandas()
+    np.testing.assert_allclose(found["rho"].to_numpy().reshape(5, 5), wanted, atol=1e-12)
+
+
+def test_ranked_columns_travel_in_blocks(spark):
+    df = spark.range(40_000).select(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(10 ** (i + 1))).cast("double").alias(f"c{i}") for i in range(4)])
+    blocks = order_stats._value_blocks(df, df.columns).collect()
+    assert sum(r["rows"] for r in blocks) == 4 * 40_000 and len(blocks) <= 4 * (40_000 // order_stats.BLOCK_ROWS + 8)
