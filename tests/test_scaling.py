@@ -129,3 +129,19 @@ def test_ranked_columns_travel_in_blocks(spark):
     df = spark.range(40_000).select(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(10 ** (i + 1))).cast("double").alias(f"c{i}") for i in range(4)])
     blocks = order_stats._value_blocks(df, df.columns).collect()
     assert sum(r["rows"] for r in blocks) == 4 * 40_000 and len(blocks) <= 4 * (40_000 // order_stats.BLOCK_ROWS + 8)
+
+
+def test_final_features_read_their_source_once(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            met.add(batch.num_rows)
+            yield batch
+
+    values = spark.range(600).selectExpr(
+        "id as image_id", "true as roi_detected", "true as analysis_success", "true as segmentation_success",
+        "cast(id % 17 as double) as num_particles", "cast(id % 23 as double) as area_median", "cast(id * id % 31 as double) as feret_p90",
+    )
+    final, report = preprocess.prepare_final(values.mapInArrow(counted, values.schema))
+    assert final.count() == 600 and len(report["selected_columns"]) == 3 and met.value == 600
