@@ -6,12 +6,16 @@ from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from particlelake.functions import scalar
+from particlelake.operators.cluster.stacked import pack, row_hash
+from particlelake.operators.forest import binned_rows, forests
+from particlelake.operators.logistic import logistics
 from particlelake.operators.order_stats import aggregate_with_percentiles
 from particlelake.operators.records import with_row_position
 from particlelake.runtime import quoted
@@ -19,7 +23,7 @@ from particlelake.runtime import quoted
 FOLDS = 5
 #: Training rows of a task: fewer than the first do not pay for a task of their own, more than the second make too large ones.
 FEWEST_ROWS, MOST_ROWS = 512, 200_000
-#: The deepest trees that Spark grows.
+#: The deepest trees, as in Spark.
 MAX_DEPTH = 30
 
 
@@ -71,43 +75,54 @@ def balanced_accuracy(predicted: DataFrame, label: str = "label") -> float:
     return recalls.agg(F.avg("recall")).first()[0]
 
 
-def _forest(trees: int, seed: int, max_depth: int) -> RandomForestClassifier:
-    return RandomForestClassifier(
+def _large_forests(
+    placed: DataFrame, sizes: dict[int, dict[float, int]], trees: int, seed: int, max_depth: int
+) -> tuple[list[float], np.ndarray]:
+    """The forests of rows that no task can hold, by Spark's passes over all rows."""
+    model = RandomForestClassifier(
         numTrees=trees, seed=seed, weightCol="weight", maxDepth=max_depth, featureSubsetStrategy="sqrt"
     )
-
-
-def _logistic(total_weight: float, max_iter: int) -> LogisticRegression:
-    return LogisticRegression(
-        family="multinomial", standardization=False, regParam=1.0 / total_weight, maxIter=max_iter, weightCol="weight"
-    )
+    scores = []
+    for fold in range(FOLDS):
+        train = placed.where(F.col("fold") != fold).withColumn("weight", class_weights(_summed(sizes, without=fold)))
+        scores.append(balanced_accuracy(model.fit(train).transform(placed.where(F.col("fold") == fold))))
+    whole = model.fit(placed.withColumn("weight", class_weights(_summed(sizes))))
+    return scores, whole.featureImportances.toArray()
 
 
 def _evaluate(
-    forest_rows: DataFrame, logistic_rows: DataFrame, sizes: dict[int, dict[float, int]], names: Sequence[str], trees: int,
-    seed: int, max_iter: int, max_depth: int,
+    placed: DataFrame, sizes: dict[int, dict[float, int]], names: Sequence[str], key: str, trees: int, seed: int,
+    max_iter: int, max_depth: int, scaled: bool,
 ) -> tuple[DataFrame, dict]:
-    """Cross-validated accuracy of both models and their feature influence; ``sizes`` are those of the classes by fold."""
-    spark = forest_rows.sparkSession
-    scores: dict[str, list[float]] = {"random_forest": [], "logistic": []}
-    rows = sum(_summed(sizes).values())
-    for fold in range(FOLDS):
-        for name, data, model in (
-            ("random_forest", forest_rows, _forest(trees, seed, max_depth)),
-            ("logistic", logistic_rows, _logistic(rows * (FOLDS - 1) / FOLDS, max_iter)),
-        ):
-            train = data.where(F.col("fold") != fold).withColumn("weight", class_weights(_summed(sizes, without=fold)))
-            scores[name].append(balanced_accuracy(model.fit(train).transform(data.where(F.col("fold") == fold))))
-    forest = _forest(trees, seed, max_depth).fit(forest_rows)
-    logistic = _logistic(rows, max_iter).fit(logistic_rows)
-    influence = np.abs(logistic.coefficientMatrix.toArray()).mean(axis=0)
-    importance = forest.featureImportances.toArray()
-    table = spark.createDataFrame(
+    """Cross-validated accuracy of both models and their feature influence; ``sizes`` are those of the classes by fold.
+
+    All folds of a model share their passes. With ``scaled`` the regression takes values in units of their spread.
+    """
+    whole = _summed(sizes)
+    trained = [*[_summed(sizes, without=fold) for fold in range(FOLDS)], whole]
+    classes = len(whole)
+    weights = [np.array([sum(t.values()) / (len(t) * t[c]) if c in t else 0.0 for c in sorted(whole)]) for t in trained]
+    rows = sum(whole.values())
+    totals = [sum(t.values()) for t in trained]
+    regs = [1.0 / (rows * (FOLDS - 1) / FOLDS)] * FOLDS + [1.0 / rows]
+    points = placed.select(
+        vector_to_array("features").alias("x"), F.array(F.lit(1.0)).alias("w"), row_hash(key).alias("h"),
+        F.array(F.col("label").cast("int"), "fold").alias("labels"),
+    )
+    packed = pack(points)
+    binned = binned_rows(points, packed, classes, FOLDS)
+    if binned is None:
+        forest, importance = _large_forests(placed, sizes, trees, seed, max_depth)
+    else:
+        forest, importance = forests(binned, weights, packed, trees, seed, max_depth)
+    logistic, coefficients = logistics(packed, weights, totals, regs, scaled, max_iter)
+    influence = np.abs(coefficients).mean(axis=0)
+    table = placed.sparkSession.createDataFrame(
         [(n, float(importance[i]), float(influence[i])) for i, n in enumerate(names)],
         "feature string, random_forest_importance double, logistic_abs_mean_coefficient double",
     ).orderBy(F.col("random_forest_importance").desc(), F.col("logistic_abs_mean_coefficient").desc(), "feature")
     summary = {"status": "completed"}
-    for name, values in scores.items():
+    for name, values in (("random_forest", forest), ("logistic", logistic)):
         summary[f"{name}_balanced_accuracy_mean"] = float(np.mean(values))
         summary[f"{name}_balanced_accuracy_std"] = float(np.std(values))
     return table, summary
@@ -138,9 +153,9 @@ def surrogate_models(
         return None, {"status": "skipped", "reason": "fewer than two non-noise clusters are available"}
     vector = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
     placed, sizes = training_rows(vector.select(key, "label", "features"), key, seed)
-    ready = placed.withColumn("weight", class_weights(_summed(sizes))).persist()
+    ready = placed.persist()
     try:
-        return _evaluate(ready, ready, sizes, features, trees, seed, max_iter, max_depth)
+        return _evaluate(ready, sizes, features, key, trees, seed, max_iter, max_depth, scaled=False)
     finally:
         ready.unpersist()
 
@@ -181,12 +196,8 @@ def context_models(
         inputs.append(f"__o_{c}")
     vector = VectorAssembler(inputCols=inputs, outputCol="features").transform(filled).select(key, "label", "features")
     placed, sizes = training_rows(vector, key, seed)
-    ready = placed.withColumn("weight", class_weights(_summed(sizes))).persist()
+    ready = placed.persist()
     try:
-        scaled = (
-            StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(ready).transform(ready)
-            .drop("features").withColumnRenamed("scaled", "features")
-        )
-        return _evaluate(ready, scaled, sizes, names, trees, seed, max_iter, max_depth)
+        return _evaluate(ready, sizes, names, key, trees, seed, max_iter, max_depth, scaled=True)
     finally:
         ready.unpersist()
