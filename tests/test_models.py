@@ -130,3 +130,21 @@ def test_regressions_of_all_folds_are_sparks(spark, scaled):
     model = LogisticRegression(labelCol="cluster_label", weightCol="weight", family="multinomial", standardization=False, regParam=0.01 * 300.0 / weight, maxIter=500, tol=1e-12).fit(rows)
     np.testing.assert_allclose(found, model.coefficientMatrix.toArray(), atol=2e-4)
     assert RandomForestClassifier().getMaxBins() == forest.BINS
+
+
+def test_jobs_of_context_models_do_not_grow_with_depth(spark):
+    """Numbers and categories with gaps, labels without any pattern: trees go as deep as they may."""
+    mixed = lambda i, n: F.pmod(F.xxhash64("id", F.lit(i)), F.lit(n))
+    df = spark.range(600).select(
+        F.col("id").alias("image_id"), mixed(0, 3).cast("int").alias("cluster_label"), mixed(1, 50).cast("double").alias("a"),
+        F.when(mixed(2, 9) > 0, mixed(3, 1_000) / 7.0).alias("b"), F.when(mixed(4, 5) > 0, mixed(5, 4).cast("string")).alias("c"),
+    )
+    jobs = []
+    for depth in (2, 14):
+        spark.sparkContext.setJobGroup(f"depth-{depth}", "")
+        table, summary = models.context_models(df, ["a", "b"], ["c"], trees=3, max_iter=3, max_depth=depth)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"depth-{depth}")))
+        assert {r["feature"] for r in table.collect()} == {"a", "b", "c=0", "c=1", "c=2", "c=3", "c=missing"}
+        assert summary["status"] == "completed" and 0.2 < summary["random_forest_balanced_accuracy_mean"] < 0.5
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
