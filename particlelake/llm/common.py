@@ -6,15 +6,14 @@ Words everywhere are maximal runs of characters other than the ASCII white space
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from particlelake.runtime import checkpoint_root
+from particlelake.runtime import filesystem, shared_folder, write_once  # noqa: F401
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 GAP = "[\\x20\\x09-\\x0D]+"
@@ -24,7 +23,7 @@ Batches = Iterator[pa.RecordBatch]
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared checkpoint directory; nothing is created yet."""
-    return f"{checkpoint_root(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    return shared_folder(spark, f"llm-{name}")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -120,26 +119,3 @@ def with_results(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without the columns an operator is about to add; its results win a clash."""
     taken = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
-
-
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a folder in the shared directory, and the path there."""
-    if uri.startswith("file:"):
-        uri = "/" + uri[len("file:"):].lstrip("/")
-    if "://" in uri:
-        return pafs.FileSystem.from_uri(uri)
-    return pafs.LocalFileSystem(), uri
-
-
-def write_once(folder: str, stem: str, fill: Callable[[pa.NativeFile], None]) -> str:
-    """Writes a file under a name no other attempt uses; returns its URI.
-
-    The caller lists finished files in a manifest that Spark commits, so files of
-    failed or repeated attempts are never read.
-    """
-    name = f"{folder}/{stem}-{uuid.uuid4().hex}"
-    fs, path = filesystem(name)
-    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with fs.open_output_stream(path, compression=None) as sink:
-        fill(sink)
-    return name
