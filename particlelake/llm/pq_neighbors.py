@@ -8,18 +8,22 @@ probes, without loss. Asymmetric table distances are lower bounds once the store
 quantisation error of the member is subtracted, so the candidates keep every pair;
 candidates are reranked by exact cosine in double precision.
 
-Equal vectors are one class. Work on a list is cut into blocks of bounded size, and a
-block returns link counts and a spanning forest, never pairs.
+Equal vectors are one class. A list is cut into blocks of bounded size, files in the shared
+folder. A task holds one block and reads the blocks that its vectors probe one after the
+other, so a vector is stored once, however many lists it probes. Two blocks return link
+counts and a spanning forest, never pairs.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from particlelake.llm.common import Batches, stored
+from particlelake.llm.common import Batches, filesystem, new_folder, stored, write_once
 from particlelake.llm.components import linked_components
 
 #: Vectors the centroids and codebooks are fitted on, about.
@@ -27,6 +31,8 @@ SAMPLE_ROWS = 32_768
 LIST_ROWS = 4096
 BLOCK_ROWS = 2048
 QUERIES_AT_ONCE = 256
+#: Tasks over all blocks, at most.
+MOST_TASKS = 2_048
 SUBSPACE = 8
 CODES = 256
 #: Classes whose ids are all null are numbered from here; real ids are smaller.
@@ -79,20 +85,23 @@ class ProductQuantiser:
         self.cuts = [(i, min(i + SUBSPACE, sample.shape[1])) for i in range(0, sample.shape[1], SUBSPACE)]
         self.books = [lloyd(residuals[:, a:b], CODES) for a, b in self.cuts]
 
-    def encode(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """List, codes, quantisation error and the distance to every list's dividing plane."""
+    def planes(self, rows: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """Distance of rows of some lists to the plane that divides theirs from every list."""
         far = squared_distances(rows, self.centres)
-        lists = far.argmin(1)
         own = far[np.arange(len(rows)), lists]
         apart = np.sqrt(squared_distances(self.centres, self.centres))[lists]
-        planes = np.where(apart > 0, (far - own[:, None]) / np.where(apart > 0, 2 * apart, 1), 0)
+        return np.where(apart > 0, (far - own[:, None]) / np.where(apart > 0, 2 * apart, 1), 0)
+
+    def encode(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List, codes and quantisation error."""
+        lists = squared_distances(rows, self.centres).argmin(1)
         residuals = rows - self.centres[lists]
         codes = np.empty((len(rows), len(self.cuts)), np.uint8)
         error = np.zeros(len(rows))
         for m, ((a, b), book) in enumerate(zip(self.cuts, self.books)):
             codes[:, m] = squared_distances(residuals[:, a:b], book).argmin(1)
             error += ((residuals[:, a:b] - book[codes[:, m]]) ** 2).sum(1)
-        return lists, codes, np.sqrt(error), planes
+        return lists, codes, np.sqrt(error)
 
     def table_distances(self, queries: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Distances of queries to decoded members of one list, summed from lookup tables."""
@@ -126,6 +135,64 @@ def valid_vector(column: str):
     return F.coalesce(F.forall(column, finite) & F.exists(column, lambda x: x != 0), F.lit(False))
 
 
+@dataclass
+class Block:
+    """Some vectors of one list."""
+
+    rep: np.ndarray
+    weight: np.ndarray
+    error: np.ndarray
+    codes: np.ndarray
+    unit: np.ndarray
+
+    def write(self, folder: str) -> str:
+        blobs = [pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in (self.rep, self.weight, self.error, self.codes, self.unit)]
+        batch = pa.RecordBatch.from_arrays(blobs, names=["rep", "weight", "error", "codes", "unit"])
+
+        def fill(sink: pa.NativeFile) -> None:
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch)
+
+        return write_once(folder, "block", fill)
+
+    @staticmethod
+    def read(path: str) -> Block:
+        fs, place = filesystem(path)
+        with fs.open_input_file(place) as source:
+            batch = pa.ipc.open_stream(source).read_next_batch()
+        kinds = (np.int64, np.int64, np.float64, np.uint8, np.float64)
+        rep, weight, error, codes, unit = (np.frombuffer(batch.column(i)[0].as_buffer(), kind) for i, kind in enumerate(kinds))
+        return Block(rep, weight, error, codes.reshape(len(rep), -1), unit.reshape(len(rep), -1))
+
+
+def block_links(quantiser: ProductQuantiser, ask: Block, member: Block, which: int, same: bool, threshold: float, reach: float) -> pa.Table:
+    """Links of some vectors to the members of a block of list ``which``; within a list the larger id asks."""
+    bound = (reach + member.error).astype(np.float32) + np.float32(1e-5)
+    found_a, found_b = [np.zeros(0, int)], [np.zeros(0, int)]
+    for at in range(0, len(ask.rep), QUERIES_AT_ONCE):
+        some = slice(at, at + QUERIES_AT_ONCE)
+        candidate = quantiser.table_distances(ask.unit[some], which, member.codes) <= bound[None, :]
+        if same:
+            candidate &= ask.rep[some][:, None] > member.rep[None, :]
+        i, j = np.nonzero(candidate)
+        for part in range(0, len(i), 100_000):
+            a, b = at + i[part: part + 100_000], j[part: part + 100_000]
+            close = np.einsum("ij,ij->i", ask.unit[a], member.unit[b]) >= threshold
+            found_a.append(a[close])
+            found_b.append(b[close])
+    # vectors of one block may stand on both sides; a number is where an id comes first
+    ids, number = np.unique(np.concatenate([ask.rep, member.rep]), return_inverse=True)
+    a, b = number[np.concatenate(found_a)], number[len(ask.rep) + np.concatenate(found_b)]
+    weights = np.zeros(len(ids), np.int64)
+    weights[number] = np.concatenate([ask.weight, member.weight])
+    links = np.zeros(len(ids), np.int64)
+    np.add.at(links, a, weights[b])
+    np.add.at(links, b, weights[a])
+    root = ids[spanning_roots(len(ids), a, b)]
+    met = links > 0
+    return pa.table({"id": ids[met], "links": links[met], "root": root[met]})
+
+
 def linked_blocks(
     classes: DataFrame, threshold: float, sample_rows: int, list_rows: int, block_rows: int
 ) -> DataFrame:
@@ -146,80 +213,73 @@ def linked_blocks(
     fitted = spark.sparkContext.broadcast(ProductQuantiser(sample, lists))
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-7
 
+    folder = new_folder(spark, "lists")
+
     def index(batches: Batches) -> Batches:
         quantiser = fitted.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             units = as_matrix(batch.column(2), width)
-            own, codes, error, planes = quantiser.encode(units)
-            wanted = (planes <= reach) & (np.arange(planes.shape[1])[None, :] >= own[:, None])
-            probes = [np.flatnonzero(w).tolist() for w in wanted]
+            own, codes, error = quantiser.encode(units)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(1), pa.array(own, pa.int64()), pa.array([c.tobytes() for c in codes], pa.binary()),
-                    pa.array(error), pa.array(probes, pa.list_(pa.int64())), pa.array([u.tobytes() for u in units], pa.binary()),
+                    batch.column(0), batch.column(1), pa.array(own, pa.int64()), pa.array(error),
+                    pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([u.tobytes() for u in units], pa.binary()),
                 ],
-                names=["rep", "weight", "list", "codes", "error", "probes", "unit"],
+                names=["rep", "weight", "list", "error", "codes", "unit"],
             )
 
-    shape = "rep long, weight long, list long, codes binary, error double, probes array<long>, unit binary"
-    indexed = stored(classes.select("rep", "weight", "vector").mapInArrow(index, shape), "index")
-    members = {r["list"]: r["count"] for r in indexed.groupBy("list").count().collect()}
-    asking = {r["which"]: r["count"] for r in indexed.select(F.explode("probes").alias("which")).groupBy("which").count().collect()}
-    blocks = lambda counts, which: max(1, -(-counts.get(which, 0) // block_rows))
-    sizes = F.array(*[F.struct(F.lit(blocks(members, w)).alias("m"), F.lit(blocks(asking, w)).alias("q")) for w in range(lists)])
-
-    def dealt(role: int, which: str, own_blocks: str, other_blocks: str) -> list:
-        size = F.element_at(sizes, F.col(which).cast("int") + 1)
-        own = F.pmod(F.xxhash64("rep"), size[own_blocks]).cast("int").alias("own")
-        other = F.explode(F.sequence(F.lit(0), size[other_blocks] - 1)).alias("other")
-        return [F.lit(role).alias("role"), F.col(which).alias("which"), own, other, "rep", "weight", "list", "codes", "error", "unit"]
-
-    queries = indexed.withColumn("asked", F.explode("probes")).select(*dealt(0, "asked", "q", "m"))
-    indexes = indexed.select(*dealt(1, "list", "m", "q"))
-    queries = queries.withColumnRenamed("own", "qb").withColumnRenamed("other", "mb")
-    indexes = indexes.withColumnRenamed("own", "mb").withColumnRenamed("other", "qb")
-    work = queries.unionByName(indexes)
-
-    def link(table: pa.Table) -> pa.Table:
+    def written(batches: Batches) -> Batches:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            held.clear()
+            rep, weight, error = (table.column(c).to_numpy() for c in ("rep", "weight", "error"))
+            blob = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind).reshape(len(rep), -1)
+            path = Block(rep, weight, error, blob("codes", np.uint8), blob("unit", np.float64)).write(folder)
+            fields = [table.column("list").chunk(0).slice(0, 1), pa.array([rep[0]], pa.int64()), pa.array([path])]
+            return pa.RecordBatch.from_arrays(fields, names=["list", "first", "path"])
+
+        for batch in batches:
+            at, lists = 0, batch.column("list").to_numpy()
+            while at < batch.num_rows:
+                if held and (sum(b.num_rows for b in held) >= block_rows or held[0].column("list")[0].as_py() != lists[at]):
+                    yield flush()
+                run = int(np.searchsorted(lists[at:], lists[at], side="right"))
+                take = min(run, block_rows - sum(b.num_rows for b in held))
+                held.append(batch.slice(at, take))
+                at += take
+        if held:
+            yield flush()
+
+    shape = "rep long, weight long, list long, error double, codes binary, unit binary"
+    tasks = max(1, -(-rows // (4 * block_rows)))
+    ordered = classes.select("rep", "weight", "vector").mapInArrow(index, shape).repartitionByRange(tasks, "list", "rep")
+    files = stored(ordered.sortWithinPartitions("list", "rep").mapInArrow(written, "list long, first long, path string"), "index")
+    blocks = [(r["list"], r["path"]) for r in files.orderBy("list", "first", "path").collect()]
+
+    def link(batches: Batches) -> Batches:
         quantiser = fitted.value
-        table = table.combine_chunks()
-        role = table.column("role").to_numpy()
-        rep, weight = table.column("rep").to_numpy(), table.column("weight").to_numpy()
-        unit = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(-1, width)
-        ask, member = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-        if not len(ask) or not len(member):
-            return pa.table({n: pa.array([], pa.int64()) for n in ("id", "links", "root")})
-        which = int(table.column("which")[0].as_py())
-        same = table.column("list").to_numpy()[ask] == which
-        codes = np.frombuffer(b"".join(table.column("codes").take(pa.array(member)).to_pylist()), np.uint8).reshape(len(member), -1)
-        bound = (reach + table.column("error").to_numpy()[member]).astype(np.float32) + np.float32(1e-5)
-        found_a, found_b = [], []
-        for at in range(0, len(ask), QUERIES_AT_ONCE):
-            some = ask[at: at + QUERIES_AT_ONCE]
-            candidate = quantiser.table_distances(unit[some], which, codes) <= bound[None, :]
-            candidate &= ~same[at: at + QUERIES_AT_ONCE, None] | (rep[some][:, None] > rep[member][None, :])
-            i, j = np.nonzero(candidate)
-            for part in range(0, len(i), 100_000):
-                a, b = some[i[part: part + 100_000]], member[j[part: part + 100_000]]
-                close = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold
-                found_a.append(a[close])
-                found_b.append(b[close])
-        a, b = np.concatenate([*found_a, np.array([], int)]), np.concatenate([*found_b, np.array([], int)])
-        # A vector of this list may stand in both roles; its number is where its id comes first.
-        ids, number = np.unique(rep, return_inverse=True)
-        a, b = number[a], number[b]
-        weights = np.zeros(len(ids), np.int64)
-        weights[number] = weight
-        links = np.zeros(len(ids), np.int64)
-        np.add.at(links, a, weights[b])
-        np.add.at(links, b, weights[a])
-        root = ids[spanning_roots(len(ids), a, b)]
-        met = links > 0
-        return pa.table({"id": ids[met], "links": links[met], "root": root[met]})
-
-    return work.groupBy("which", "qb", "mb").applyInArrow(link, "id long, links long, root long")
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                own, path = blocks[i]
+                block = Block.read(path)
+                wanted = quantiser.planes(block.unit, np.full(len(block.rep), own)) <= reach
+                # blocks of a list follow one another by id, and a smaller id asks nobody of its list
+                others = [j for j, (which, _) in enumerate(blocks) if which > own or (which == own and j <= i)]
+                for j in others:
+                    which, path = blocks[j]
+                    some = np.flatnonzero(wanted[:, which])
+                    if not len(some):
+                        continue
+                    ask = Block(block.rep[some], block.weight[some], block.error[some], block.codes[some], block.unit[some])
+                    met = block_links(quantiser, ask, block if j == i else Block.read(path), which, which == own, threshold, reach)
+                    yield from met.to_batches()
+
+    dealt = spark.range(0, len(blocks), numPartitions=min(len(blocks), MOST_TASKS))
+    return dealt.mapInArrow(link, "id long, links long, root long")
 
 
 def near_embeddings(
