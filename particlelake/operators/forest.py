@@ -24,8 +24,8 @@ from particlelake.runtime import cut_lineage
 BINS = 32
 #: Rows that bins are found from: those with the smallest hashes.
 SAMPLE_ROWS = 10_000
-#: Binned rows that every task may hold. Larger tables take Spark's own forest.
-MOST_BYTES = 256 << 20
+#: Bytes of binned rows and of the arrays that growing takes for each; larger tables take Spark's own forest.
+MOST_BYTES, WORK_BYTES = 512 << 20, 200
 #: Held-out rows whose votes are added up in one task, and jobs a core.
 PART_ROWS, JOBS = 65_536, 8
 #: Cells of a histogram that a row may pay for.
@@ -71,7 +71,7 @@ def binned_rows(points: DataFrame, packed: Packed, classes: int, folds: int, mos
     rows = packed.frame.withColumn("part", F.lit(0)).mapInArrow(coded, "code binary, label int, fold int")
     counts = [F.count_if(F.col("fold") == f).cast("int").alias(f"n{f}") for f in range(folds)]
     known = cut_lineage(rows.groupBy("code", "label").agg(*counts))
-    if known.count() * (packed.dims + 4 * (folds + 1)) > most_bytes:
+    if known.count() * (packed.dims + 4 * (folds + 1) + WORK_BYTES) > most_bytes:
         return None
     # one order, so trees do not depend on the tasks
     table = known.orderBy("code", "label").toArrow().combine_chunks()
